@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secret_scan, tokenfile
+from . import bpe, decontam, secret_scan, shards, simhash, tiff, tokenfile
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.media_digest(tiff.text_to_tiff(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -23,5 +27,17 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_token_file(blocks, ranks)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op6_bpe_roundtrip, op9_token_file)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.pack_into(table(spark, sf_dir, "documents", "doc_id", "text"), 24)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_tiff_media, op6_bpe_roundtrip, op7_simhash, op8_shards, op9_token_file, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
