@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, secret_scan, shards, simhash, tiff, tokenfile
+from . import bpe, decontam, html_wrapper, langid, secret_scan, shards, simhash, tiff, tokenfile
 from .common import table
 
 
@@ -13,10 +13,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op2_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digest(tiff.text_to_tiff(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return langid.identify(documents, langid.fit(documents)).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -39,5 +48,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_tiff_media, op6_bpe_roundtrip, op7_simhash, op8_shards, op9_token_file, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_wrapper, op3_tiff_media, op5_language_id, op6_bpe_roundtrip, op7_simhash, op8_shards, op9_token_file, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
