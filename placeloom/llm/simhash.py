@@ -35,7 +35,7 @@ from .components import components
 
 SEED, SHINGLE, BITS = 42, 3, 3
 #: Distinct fingerprints compared within one task; larger buckets are keyed further.
-BUCKET = 2048
+BUCKET = 1 << 16
 CHUNK = 1 << 20
 
 
