@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html_wrapper, langid, secret_scan, shards, simhash, tiff, tokenfile
+from . import bpe, decontam, html_wrapper, langid, licenses, secret_scan, shards, simhash, tiff, tokenfile
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.media_digest(tiff.text_to_tiff(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     return langid.identify(documents, langid.fit(documents)).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
@@ -48,5 +52,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_wrapper, op3_tiff_media, op5_language_id, op6_bpe_roundtrip, op7_simhash, op8_shards, op9_token_file, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_wrapper, op3_tiff_media, op4_license_scan, op5_language_id, op6_bpe_roundtrip, op7_simhash, op8_shards, op9_token_file, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
