@@ -131,8 +131,9 @@ def encode_decode(
     path: str | None = None,
     ranks_path: str | None = None,
     pattern: str | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row: id_col, n_tokens, ids (little-endian unsigned 32-bit), decoded (text decoded from those ids).
+    """Per row: id_col, `keep` columns, n_tokens, ids (little-endian unsigned 32-bit), decoded (text decoded from those ids).
 
     One narrow map stage: no shuffle, nothing collected, a lost executor only repeats its own tasks.
     """
@@ -148,12 +149,14 @@ def encode_decode(
             yield pa.record_batch(
                 [
                     part.column(0),
+                    *(part.column(2 + i) for i in range(len(keep))),
                     pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([x.tobytes() for x in ids], pa.binary()),
                     pa.array([c.decode(x) for x in ids], pa.string()),
                 ],
-                names=[id_col, "n_tokens", "ids", "decoded"],
+                names=[id_col, *keep, "n_tokens", "ids", "decoded"],
             )
 
-    src = df.select(id_col, text_col)
-    return src.mapInArrow(run, f"{id_col} {src.schema[id_col].dataType.simpleString()}, {SCHEMA_TAIL}")
+    src = df.select(id_col, text_col, *keep)
+    head = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
+    return src.mapInArrow(run, f"{head}, {SCHEMA_TAIL}")

@@ -244,3 +244,23 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         found = over(block)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
+
+
+def clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with all their columns, that contain no item."""
+    spark = df.sparkSession
+    at_text = df.columns.index(text_col)
+
+    def without(df, block):
+        shared = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value, shingle, threshold)
+            for part in slices(batches, text_col):
+                yield part.filter(pa.array([not (t and index.search(t)) for t in part.column(at_text).to_pylist()], pa.bool_()))
+
+        return df.mapInArrow(run, df.schema)
+
+    for block in blocks(items, item_col, item_text_col):
+        df = without(df, block)
+    return df

@@ -14,7 +14,7 @@ Prediction: the language with the least cross-entropy a character. Rejection is
 not estimated from: a text is rejected if its cross-entropy lies above the midpoint between its language's own texts and
 random letters (and above the own texts' mean and six deviations), with an allowance for short texts.
 
-Cases: null text, or text without a letter: `und`, score 0, rejected. No labelled row at all: every row is `und`. Null ids count
+Cases: null text, or text without a letter: `und`, score 0, rejected. No labelled row at all: every row is `und`, and only texts without a letter are rejected. Null ids count
 as held out. Repeated rows repeat; empty in, empty out. Equal cross-entropies go to the first language by name.
 """
 
@@ -216,6 +216,8 @@ class Scorer:
     def rows(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log probabilities of the characters at `at`, a row each."""
         m = self.m
+        if not m.languages:
+            return np.zeros((len(at), 0), np.float32)
         low = np.uint64(CHAR_BITS)
         keys = np.zeros(len(at), np.uint64)
         for k in range(m.order - 1, -1, -1):
@@ -347,6 +349,28 @@ def scored(df: DataFrame, models: Models, text_col: str, keep: list[str]) -> Dat
     return src.mapInArrow(run, "".join(f"`{c}` {src.schema[c].dataType.simpleString()}, " for c in keep) + "entropies array<double>, size long")
 
 
+def is_rejected(models: Models, entropy: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(best language, rejected) of scored texts."""
+    at = entropy.argmin(1)
+    best = entropy[np.arange(len(at)), at]
+    return at, (size == 0) | (best > models.limits[at] + 2 * models.spread[at] / np.sqrt(np.maximum(size, 1)))
+
+
+def accepted(df: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language isn't rejected."""
+    shared = df.sparkSession.sparkContext.broadcast(models)
+    at_text = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        scorer = Scorer(m)
+        for part in slices(batches, text_col):
+            entropy, size = scorer.score(part.column(at_text).to_pylist())
+            yield part.filter(pa.array(~is_rejected(m, entropy, size)[1] if m.languages else size > 0))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def identify(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: id_col, keep columns, held_out, lang_pred, score, entropy, rejected.
 
@@ -359,18 +383,17 @@ def identify(df: DataFrame, models: Models, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        scorer = Scorer(m) if m.languages else None
+        scorer = Scorer(m)
         for part in slices(batches, text_col):
             n = part.num_rows
-            if scorer is None:
-                lang, score, best, rejected = ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
+            entropy, size = scorer.score(part.column(at_text).to_pylist())
+            if not m.languages:
+                lang, score, best, rejected = ["und"] * n, np.zeros(n), np.zeros(n), size == 0
             else:
-                entropy, size = scorer.score(part.column(at_text).to_pylist())
-                at = entropy.argmin(1)
+                at, rejected = is_rejected(m, entropy, size)
                 best = entropy[np.arange(n), at]
                 weight = np.minimum(size, SCORE_CHARS)[:, None]
                 score = np.where(size > 0, 1 / np.exp(-(entropy - best[:, None]) * weight).sum(1), 0.0)
-                rejected = (size == 0) | (best > m.limits[at] + 2 * m.spread[at] / np.sqrt(np.maximum(size, 1)))
                 lang = [m.languages[k] if s else "und" for k, s in zip(at.tolist(), size.tolist(), strict=True)]
             yield pa.record_batch([*(part.column(i) for i in range(len(names))), pa.array(lang, pa.string()), pa.array(score), pa.array(best), pa.array(rejected)], names=[*names, "lang_pred", "score", "entropy", "rejected"])
 

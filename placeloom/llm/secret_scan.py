@@ -128,5 +128,32 @@ def without(text: str | None, spans: list[tuple[int, int, int]], mark: str = "<s
     return "".join([*out, text[at:]])
 
 
+def redact(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The same rows and columns with all spans of the text replaced; a changed text's length goes to chars_col, if there is one."""
+    if ranks_path is None:
+        import public_tokenizers
+
+        ranks_path, pattern = default_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    at_text = df.columns.index(text_col)
+    at_chars = df.columns.index(chars_col) if chars_col in df.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = Efficiency(ranks_path, pattern)
+        for part in slices(batches, text_col):
+            texts = part.column(at_text).to_pylist()
+            new = []
+            for t in texts:
+                base = base_spans(t or "")
+                new.append(without(t, sorted(base + test.spans(t or "", base))))
+            columns = list(part.columns)
+            columns[at_text] = pa.array(new, columns[at_text].type)
+            if at_chars is not None:
+                sizes = columns[at_chars].to_pylist()
+                columns[at_chars] = pa.array([n if a == b else len(b) for n, a, b in zip(sizes, texts, new, strict=True)], columns[at_chars].type)
+            yield pa.record_batch(columns, schema=part.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return scanned.select(id_col, "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_random")

@@ -226,3 +226,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links(distinct.where("rep is not null"), bits, bucket))
     labels = distinct.join(roots, distinct.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(labels, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+ROW = "_placeloom_row"
+
+
+def one_of_each(df: DataFrame, text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """The first row, with all its columns, of each near-duplicate group. Rows are told apart by position, not by an id."""
+    columns = df.columns
+    rows = written(df.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(rows, ROW, text_col, bits, shingle, bucket)
+    return rows.join(groups.where(F.col(ROW) == F.col("component_id")).select(ROW), ROW, "left_semi").select(*columns)
