@@ -1 +1 @@
-
+"""Column functions: geometry, vectors, names, seeded order."""
