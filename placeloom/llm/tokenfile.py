@@ -33,78 +33,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, written
-from .vocab import default_path, hf_tokenizer
+from .vocab import byte_alphabet, default_path, hf_tokenizer
 
 BLOCK_IDS = 1 << 18
-CACHE_WORDS = 300_000
-CHUNK = 1 << 20
 
-#: Characters of the word-cache path: composed, without case surprises, in the same class in every Unicode version.
-_RARE = re.compile("[^\\x09-\\x0d\\x20-\\x7e\\xa0\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-įı-ɀ‐-‧‰-⁞€]")
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Characters of the plain path: composed, without case surprises, in the same class in every Unicode version.
+_RARE = re.compile("[^\\x09-\\x0d\\x20-\\x7e\\xa0\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-įı-ɀ‐-‧‰-⁞€]|<\\||\\S{4096}")
+_WHITE = "\n\t\r\x0b\x0c\xa0"
+#: Pre-tokens that aren't letters, set apart by spaces: the second form where digits, apostrophes or underscores occur.
+_OTHER = re.compile(r"[^\w\s]+")
+_SPECIAL, _ANY_OTHER = re.compile(r"[\d_']"), re.compile(r"'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+|\d")
 
 
 class WordEncoder:
-    """Exact ids of a word-end BPE file, one encoder call for each word not seen before.
+    """Ids of a word-end BPE file as `tokenizers` gives them.
 
-    The file's tokenizer never joins text across white space or pre-tokens, and the last token of a
-    pre-token carries the word-end mark, so the ids of a text are those of its pre-tokens in a row.
-    Texts outside the plain alphabet, or with special tokens, go to the tokenizer whole.
+    Plain texts take a short cut with the same ids: once pre-tokens are set apart, each ends with one space, which
+    stands for the word-end mark. The file's ids are its merge order (byte symbols, their word-end forms, then merges), so they
+    serve as ranks for a byte-level encoder in which a last byte and its space merge first. Texts outside the plain
+    alphabet, with special-token marks or with very long words go to the `tokenizers` tokenizer whole.
     """
 
     def __init__(self, path: str):
+        import tiktoken
+
         self.tok = hf_tokenizer(path)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.ends = np.zeros(self.size, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.seen: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        todo = [w for w in words if w not in self.seen]
-        if not todo:
-            return
-        if len(self.seen) + len(todo) > CACHE_WORDS:
-            self.seen = {}
-            todo = list(words)
-        ids = np.asarray(self.tok.encode(" ".join(todo), add_special_tokens=False).ids, self.dtype)
-        cut = np.flatnonzero(self.ends[ids]) + 1
-        if len(cut) == len(todo):
-            at = 0
-            for w, to in zip(todo, cut.tolist(), strict=True):
-                self.seen[w] = ids[at:to].tobytes()
-                at = to
-        else:
-            self.seen.update((w, self.whole(w)) for w in todo)
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        plain = [not _RARE.search(t) and "<|" not in t for t in texts]
-        words = [_WORD.findall(t.lower()) if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        self.learn(set().union(*words))
-        get = self.seen.__getitem__
-        return [b"".join(map(get, w)) if ok else self.whole(t) for t, ok, w in zip(texts, plain, words, strict=True)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Long texts are taken a piece at a time, cut at white space, so that word lists stay small."""
-        if all(len(t) <= CHUNK for t in texts):
-            return self.encode_many(texts)
-        return [b"".join(b"".join(self.encode_many([p])) for p in pieces(t)) for t in texts]
-
-
-def pieces(text: str) -> Iterator[str]:
-    if _RARE.search(text) or "<|" in text:
-        yield text
-        return
-    at = 0
-    for m in re.finditer(r"\s(?=\S)", text):
-        if m.start() - at >= CHUNK:
-            yield text[at : m.start()]
-            at = m.start()
-    yield text[at:]
+        byte_of = {c: b for b, c in byte_alphabet().items()}
+        ranks = {}
+        for token, i in self.tok.get_vocab(with_added_tokens=False).items():
+            body = token.removesuffix("</w>")
+            if all(c in byte_of for c in body) and not token.startswith("<|"):
+                ranks[bytes(byte_of[c] for c in body) + b" " * (body != token)] = i
+        if not all(bytes([b]) in ranks and ranks.get(bytes([b, 32]), self.size) < 512 for b in range(256)):
+            raise ValueError("not a word-end BPE file whose ids are merge ranks")
+        self.fast = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if _RARE.search(text):
+            return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        low = text.lower()
+        low = (_ANY_OTHER if _SPECIAL.search(low) else _OTHER).sub(r" \g<0> ", low)
+        for c in _WHITE:
+            low = low.replace(c, " ")
+        return self.fast.encode_to_numpy(low + " ").astype(self.dtype).tobytes()
 
 
 @cache
@@ -133,10 +107,12 @@ def uncode(control: bytes, data: bytes, count: int) -> np.ndarray:
     ends = np.cumsum(lengths, dtype=np.int64)
     starts = ends - lengths
     raw = np.frombuffer(data, np.uint8)
-    out = np.zeros(count, np.uint32)
-    for k in range(4):
-        has = lengths > k
-        out[has] |= raw[starts[has] + k].astype(np.uint32) << np.uint32(8 * k)
+    out = raw[starts].astype(np.uint32)
+    for k in range(1, 4):
+        longer = np.flatnonzero(lengths > k)
+        if not len(longer):
+            break
+        out[longer] |= raw[starts[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -147,23 +123,29 @@ def token_table(df: DataFrame, id_col: str, text_col: str, path: str, end_id: in
         enc = encoder(path)
         end = np.array([end_id], enc.dtype).tobytes()
         for part in slices(batches, text_col, 4 << 20):
-            ids = enc.encode([t or "" for t in part.column(1).to_pylist()])
+            ids = [enc.encode(t or "") for t in part.column(1).to_pylist()]
             yield pa.record_batch([part.column(0), pa.array([x + end for x in ids], pa.binary())], names=["id", "ids"])
 
     src = df.select(id_col, text_col)
     return src.mapInArrow(run, f"id {src.schema[id_col].dataType.simpleString()}, ids binary")
 
 
+def flat_ids(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a binary column without nulls, and the number of each row, from Arrow's buffers as they are."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32 if pa.types.is_binary(column.type) else np.int64)[column.offset : column.offset + len(column) + 1]
+    if not len(column):
+        return np.empty(0, f"<u{width}"), np.empty(0, np.int64)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return raw.view(f"<u{width}"), np.diff(offsets).astype(np.int64) // width
+
+
 def rank_table(tokens: DataFrame, size: int, width: int) -> DataFrame:
     """(token, n) over all ids; each task sends one row for a token at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), f"<u{width}"), minlength=size) if len(x.as_buffer()) > size else 0
-            short = [x.as_py() for x in batch.column(0) if len(x.as_buffer()) <= size]
-            total += np.bincount(np.frombuffer(b"".join(short), f"<u{width}"), minlength=size)
+            total += np.bincount(flat_ids(batch.column(0), width)[0], minlength=size)
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["token", "n"])
 
@@ -192,19 +174,25 @@ def write_token_file(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         part, seq, first = TaskContext.get().partitionId(), 0, 0
         docs: list = []
+        sizes: list[np.ndarray] = []
         held: list[np.ndarray] = []
-        size = 0
+        waiting = 0
         for batch in batches:
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.frombuffer(x.as_buffer(), f"<u{width}")
-                docs.append(i)
-                held.append(ids)
-                size += len(ids)
-                if size >= BLOCK_IDS:
-                    yield block(part, seq, first, docs, held, shared.value)
-                    seq, first, docs, held, size = seq + 1, first + size, [], [], 0
+            ids, n = flat_ids(batch.column(1), width)
+            names, ends, at = batch.column(0).to_pylist(), np.cumsum(n), 0
+            while at < len(n):  # rows up to the one that fills the block
+                start = int(ends[at] - n[at])
+                to = min(len(n), int(np.searchsorted(ends, start + BLOCK_IDS - waiting)) + 1)
+                stop = int(ends[to - 1])
+                docs += names[at:to]
+                sizes.append(n[at:to])
+                held.append(ids[start:stop].copy())
+                waiting, at = waiting + stop - start, to
+                if waiting >= BLOCK_IDS:
+                    yield block(part, seq, first, docs, sizes, held, shared.value)
+                    seq, first, docs, sizes, held, waiting = seq + 1, first + waiting, [], [], [], 0
         if docs:
-            yield block(part, seq, first, docs, held, shared.value)
+            yield block(part, seq, first, docs, sizes, held, shared.value)
 
     keyed = tokens.withColumn("tie", F.xxhash64("ids"))  # lets a range boundary fall inside one repeated id
     ordered = keyed.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "ids").select("id", "ids")
@@ -213,11 +201,11 @@ def write_token_file(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return blocks, ranks
 
 
-def block(part: int, seq: int, first: int, docs: list, held: list[np.ndarray], rank_of: np.ndarray) -> pa.RecordBatch:
+def block(part: int, seq: int, first: int, docs: list, sizes: list[np.ndarray], held: list[np.ndarray], rank_of: np.ndarray) -> pa.RecordBatch:
     control, data = code(rank_of[np.concatenate(held)])
     kind = pa.int64() if all(d is None or isinstance(d, int) for d in docs) else pa.string()
     return pa.record_batch(
-        [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([first], pa.int64()), pa.array([docs], pa.list_(kind)), pa.array([[len(h) for h in held]], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
+        [pa.array([part], pa.int32()), pa.array([seq], pa.int64()), pa.array([first], pa.int64()), pa.array([docs], pa.list_(kind)), pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())],
         names=["part", "seq", "first", "doc_ids", "n", "control", "data"],
     )
 
