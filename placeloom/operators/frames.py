@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 PERCENTILE = 0.99
 
@@ -16,6 +17,11 @@ def f32(v) -> Column:
     return (v if isinstance(v, Column) else F.lit(v)).cast("float")
 
 
+def _frame():
+    """A frame's active pixels: at most as many rows as the sensor has. Limits are values over it, so no table of a row a slice is broadcast."""
+    return Window.partitionBy("slice")
+
+
 def in_bounds(events: DataFrame, width: int, height: int) -> DataFrame:
     """Events on the sensor, polarity as 0 or 1 (positive is any p > 0)."""
     return events.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)).withColumn("p", (F.col("p") > 0).cast("int"))
@@ -33,8 +39,7 @@ def hot_pixels(events: DataFrame, sigmas: float = 3.0) -> DataFrame:
 
 
 def without_hot_pixels(events: DataFrame, sigmas: float = 3.0) -> DataFrame:
-    """At most one row a pixel is broadcast."""
-    return events.join(F.broadcast(hot_pixels(events, sigmas)), ["y", "x"], "left_anti")
+    return events.join(hot_pixels(events, sigmas), ["y", "x"], "left_anti")
 
 
 def _byte(v: Column) -> Column:
@@ -43,9 +48,7 @@ def _byte(v: Column) -> Column:
 
 def accumulate(events: DataFrame) -> DataFrame:
     """Winner-takes-all counts on white, each polarity over the percentile of its own active pixels."""
-    counts = pixel_counts(events)
-    limits = counts.groupBy("slice").agg(*[F.percentile(F.when(F.col(c) > 0, F.col(c)), PERCENTILE).cast("float").alias(f"{c}_limit") for c in ("pos", "neg")])
-    df = counts.join(F.broadcast(limits), "slice")
+    df = pixel_counts(events).withColumns({f"{c}_limit": F.percentile(F.when(F.col(c) > 0, F.col(c)), F.lit(PERCENTILE)).over(_frame()).cast("float") for c in ("pos", "neg")})
     part = {c: F.when(F.col(f"{c}_limit").isNull(), f32(0.0)).otherwise(F.least(f32(F.col(c)), F.col(f"{c}_limit")) / F.col(f"{c}_limit")).cast("float") for c in ("pos", "neg")}
     df = df.select("slice", "y", "x", part["pos"].alias("a"), part["neg"].alias("b"))
     pos, neg = F.when(F.col("a") >= F.col("b"), F.col("a")).otherwise(f32(0.0)), F.when(F.col("a") >= F.col("b"), f32(0.0)).otherwise(F.col("b"))
@@ -56,9 +59,8 @@ def accumulate(events: DataFrame) -> DataFrame:
 def countmask(events: DataFrame, white_frame: bool = False) -> DataFrame:
     """Counts over one percentile of both polarities; green is where any event fell."""
     counts = pixel_counts(events)
-    values = counts.select("slice", F.explode(F.array("pos", "neg")).alias("v")).where("v > 0")
-    limits = values.groupBy("slice").agg(F.percentile("v", PERCENTILE).cast("float").alias("alpha"))
-    df = counts.join(F.broadcast(limits), "slice")
+    values = counts.select("slice", "y", "x", "pos", "neg", F.explode(F.array(F.struct(F.lit(1).alias("first"), F.col("pos").alias("v")), F.struct(F.lit(0).alias("first"), F.col("neg").alias("v")))).alias("c"))
+    df = values.withColumn("alpha", F.percentile(F.when(F.col("c.v") > 0, F.col("c.v")), F.lit(PERCENTILE)).over(_frame()).cast("float")).where("c.first = 1")
     parts = [(c, (F.least(f32(F.col(v)), F.col("alpha")) / F.col("alpha")).cast("float")) for c, v in (("r", "pos"), ("b", "neg"))]
     r, g, b = parts[0][1], f32(1.0), parts[1][1]
     if white_frame:
@@ -67,14 +69,14 @@ def countmask(events: DataFrame, white_frame: bool = False) -> DataFrame:
 
 
 def _last(events: DataFrame) -> DataFrame:
-    """The last event of each pixel; equal times: the greatest event_id."""
-    return events.groupBy("slice", "y", "x").agg(F.max(F.struct("t", "event_id", "p")).alias("e")).select("slice", "y", "x", F.col("e.t").alias("t"), F.col("e.p").alias("p"))
+    """The last event of each pixel (equal times: the greatest event_id), and the first time of any."""
+    last = events.groupBy("slice", "y", "x").agg(F.max(F.struct("t", "event_id", "p")).alias("e"), F.min("t").alias("first"))
+    return last.select("slice", "y", "x", F.col("e.t").alias("t"), F.col("e.p").alias("p"), "first")
 
 
 def tencode(events: DataFrame) -> DataFrame:
     """Last event wins: polarity in red and blue, age within the window in green (new is dark)."""
-    bounds = events.groupBy("slice").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    df = _last(events).join(F.broadcast(bounds), "slice")
+    df = _last(events).withColumns({"lo": F.min("first").over(_frame()), "hi": F.max("t").over(_frame())})
     age = F.when(F.col("hi") == F.col("lo"), F.lit(0.0)).otherwise((F.col("t") - F.col("lo")).cast("double") / F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(F.col("hi") - F.col("lo")).cast("double"))
     return df.select("slice", "y", "x", (F.col("p") * 255).alias("r"), _byte(F.lit(255.0) * (1.0 - age)).alias("g"), ((1 - F.col("p")) * 255).alias("b"))
 

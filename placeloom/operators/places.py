@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from ..functions.ordering import rank_within, with_ordinal
 
 
 def numbered(df: DataFrame, key: str | list[str], out: str = "ordinal") -> DataFrame:
-    """Ordinal of each group in key order, ids of groups that later go stay unused. One row a group is ranked, not one a member."""
+    """Ordinal of each group in key order, ids of groups that later go stay unused. One row a group is ordered, not one a member."""
     keys = [key] if isinstance(key, str) else key
-    groups = df.select(*keys).distinct().withColumn(out, F.row_number().over(Window.orderBy(*keys)) - 1)
-    return df.join(groups, keys)
+    return df.join(with_ordinal(df.select(*keys).distinct(), keys, out), keys)
 
 
 def at_least(df: DataFrame, place: str | list[str], n: int) -> DataFrame:
@@ -37,19 +37,19 @@ def by_directory(images: DataFrame, min_images: int, max_images: int | None = No
     return df.select((F.lit(offset) + F.col("ordinal") * stride).cast("long").alias("place_id"), "path")
 
 
-def runs(images: DataFrame, scan: str, order: list[str], chunk: int, gap: int, min_images: int, offset: int = 0, per_scan: int = 1000, carry: tuple[str, ...] = ()) -> DataFrame:
+def runs(images: DataFrame, scan: str, order: list[str], chunk: int, gap: int, min_images: int, offset: int = 0, per_scan: int = 1000, carry: tuple[str, ...] = (), coarse: Column | None = None) -> DataFrame:
     """Capture-ordered runs of `chunk` with `gap` dropped between; short runs go; at most per_scan surviving runs a scan.
 
-    (place_id, scan, run, position, carry...)
+    (place_id, scan, run, position, carry...). coarse: see rank_within; it keeps a hot scan out of one task.
     """
     if chunk < min_images:
         raise ValueError("a run must be able to hold min_images")
     stride = chunk + gap
-    df = images.withColumn("_p", F.row_number().over(Window.partitionBy(scan).orderBy(*order)) - 1)
+    df = rank_within(images, [scan], order, "_p", coarse)
     df = df.withColumn("_run", F.floor(F.col("_p") / stride)).withColumn("position", F.col("_p") % stride).where(F.col("position") < chunk)
     kept = df.groupBy(scan, "_run").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_images)
     kept = kept.withColumn("run", F.row_number().over(Window.partitionBy(scan).orderBy("_run")) - 1).where(F.col("run") < per_scan)
-    scans = images.select(scan).distinct().withColumn("_s", F.row_number().over(Window.orderBy(scan)) - 1)
+    scans = with_ordinal(images.select(scan).distinct(), [scan], "_s")
     out = df.join(kept.select(scan, "_run", "run"), [scan, "_run"]).join(scans, scan)
     return out.select((F.lit(offset) + F.col("_s") * 1000 + F.col("run")).cast("long").alias("place_id"), scan, F.col("run").cast("long").alias("run"), F.col("position").cast("long").alias("position"), *carry)
 
@@ -99,15 +99,15 @@ def by_clusters(rows: DataFrame, bins: int, min_images: int, max_images: int | N
     rows: city, split, cluster, heading, easting, northing, path. (place_id, city, path)
     """
     merge = merge_decision(rows) if merge is None else merge
-    df = rows.join(F.broadcast(merge.select("city", "merged")), "city").withColumn("bin", geo.view_bin(F.col("heading"), bins))
+    df = rows.join(merge.select("city", "merged"), "city").withColumn("bin", geo.view_bin(F.col("heading"), bins))
     key = F.when(F.col("merged"), F.format_string("(%d, %d)", "cluster", "bin")).otherwise(F.format_string("('%s', %d, %d)", "split", "cluster", "bin"))
     df = df.withColumn("key", key)
-    cities = df.select("city").distinct().withColumn("_c", F.row_number().over(Window.orderBy("city")) - 1)
+    cities = with_ordinal(rows.select("city").distinct(), ["city"], "_c")
     groups = df.select("city", "key").distinct().withColumn("_g", F.row_number().over(Window.partitionBy("city").orderBy("key")) - 1)
     df = at_least(df, ["city", "key"], min_images)
     if max_images:
         df = capped(df, ["city", "key"], max_images)
-    return df.join(groups, ["city", "key"]).join(F.broadcast(cities), "city").select((F.lit(offset) + F.col("_c") * 1_000_000 + F.col("_g")).cast("long").alias("place_id"), "city", "path")
+    return df.join(groups, ["city", "key"]).join(cities, "city").select((F.lit(offset) + F.col("_c") * 1_000_000 + F.col("_g")).cast("long").alias("place_id"), "city", "path")
 
 
 def nested(places: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Exact cosine top-k of queries against a bank of unit vectors.
 
 Queries are a stated, small side: they go to the tasks in blocks of bounded bytes, and the bank is scanned once a block.
-Each Arrow batch is one matrix product; rows within a hair of its k-th best are scored again by a sum from the first
-component on, so scores don't depend on blocks or batches. A task sends k rows a query and batch at most; the final rank is by
-score, then reference id, and a window over k * batches rows a query is reduced by partial group limits first.
+Each Arrow batch is one matrix product; rows within a hair of a query's k-th best are scored again by a sum from the first
+component on, so scores don't depend on blocks or batches. A task keeps k rows a query over its batches and sends those; the
+final rank is by score, then reference id, over k rows a task and query.
 """
 
 from __future__ import annotations
@@ -50,18 +50,33 @@ def candidates(bank: DataFrame, ids: list, block: np.ndarray, k: int, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
+        bar = np.full(len(ids), -np.inf)  # each query's k-th best so far
+        held = None  # query position, reference, score
         for batch in batches:
             if not batch.num_rows:
                 continue
             refs = _matrix(batch.column(1), queries.shape[1])
+            names = np.asarray(batch.column(0).to_pylist())
             scores = queries @ refs.T
             n = min(k, len(refs))
-            floor = np.partition(scores, len(refs) - n, axis=1)[:, len(refs) - n] - HAIR
+            floor = np.maximum(np.partition(scores, len(refs) - n, axis=1)[:, len(refs) - n], bar) - HAIR
             at, to = np.nonzero(scores >= floor[:, None])
             exact = np.zeros(len(at))
             for d in range(queries.shape[1]):
                 exact += queries[at, d] * refs[to, d]
-            yield pa.record_batch([pa.array([ids[i] for i in at.tolist()]), batch.column(0).take(pa.array(to)), pa.array(exact)], names=["query_id", "reference_id", "score"])
+            new = (at, names[to], exact)
+            at, to, exact = new if held is None else (np.concatenate(c) for c in zip(held, new, strict=True))
+            order = np.lexsort((to, -exact, at))
+            at, to, exact = at[order], to[order], exact[order]
+            first = np.searchsorted(at, np.arange(len(ids)))
+            rank = np.arange(len(at)) - first[at]
+            keep = rank < k
+            held = at[keep], to[keep], exact[keep]
+            last = rank == k - 1
+            bar[at[last]] = exact[last]
+        if held is not None:
+            at, to, exact = held
+            yield pa.record_batch([pa.array([ids[i] for i in at.tolist()]), pa.array(to.tolist()), pa.array(exact)], names=["query_id", "reference_id", "score"])
 
     return bank.select(id_col, vector_col).mapInArrow(run, f"query_id {kind}, reference_id {kind}, score double")
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordering import draw
+from ..functions.ordering import draw, rank_within, with_ordinal
 
 
 def k_per_place(images: DataFrame, k: int, seed: int = 0, place: str = "place_id", key: str = "path") -> DataFrame:
@@ -15,13 +15,13 @@ def k_per_place(images: DataFrame, k: int, seed: int = 0, place: str = "place_id
 
 
 def place_batches(places: DataFrame, p: int, seed: int = 0, drop_last: bool = True, by: list[str] | None = None) -> DataFrame:
-    """Distinct places in seeded order, p a batch: adds batch and slot. A batch number needs a global order of places (not images)."""
-    by = by or []
-    order = Window.partitionBy(*by).orderBy(draw(seed, *[F.col(c) for c in by], F.col("place_id")), "place_id")
-    out = places.withColumn("_i", F.row_number().over(order) - 1).withColumn("batch", F.floor(F.col("_i") / p)).withColumn("slot", F.col("_i") % p)
+    """Distinct places in seeded order, p a batch: adds batch and slot. Batch numbers need one order of places (not images); see with_ordinal."""
+    order = [draw(seed, *[F.col(c) for c in by or []], F.col("place_id")), "place_id"]
+    out = rank_within(places, by, order, "_i") if by else with_ordinal(places, order, "_i")
+    out = out.withColumn("batch", F.floor(F.col("_i") / p)).withColumn("slot", F.col("_i") % p)
     if drop_last:
-        sizes = places.groupBy(*by).agg(F.floor(F.count("*") / p).alias("_full"))
-        out = (out.join(F.broadcast(sizes), by) if by else out.crossJoin(F.broadcast(sizes))).where(F.col("batch") < F.col("_full")).drop("_full")
+        sizes = places.groupBy(*(by or [])).agg(F.floor(F.count("*") / p).alias("_full"))
+        out = (out.join(sizes, by) if by else out.crossJoin(sizes)).where(F.col("batch") < F.col("_full")).drop("_full")
     return out.drop("_i")
 
 
@@ -38,7 +38,7 @@ def group_cycle(places: DataFrame, p: int, epochs: int, seed: int = 0) -> DataFr
     if turn.isEmpty():
         raise ValueError(f"no group has {p} places")
     plan = turn.join(places.sparkSession.range(epochs).withColumnRenamed("id", "epoch"), F.pmod(F.col("epoch"), F.col("n_groups")) == F.col("turn")).select("epoch", "place_group")
-    chosen = places.select("place_group", "place_id").join(F.broadcast(plan), "place_group")
+    chosen = places.select("place_group", "place_id").join(plan, "place_group")
     return place_batches(chosen, p, seed, by=["epoch", "place_group"]).select("epoch", "place_group", "batch", "slot", "place_id")
 
 
@@ -74,4 +74,4 @@ def probe(places: DataFrame, listing: DataFrame, n: int = 32, seed: int = 0) ->
 
 def batch_of_step(steps: DataFrame, counts: DataFrame) -> DataFrame:
     """Exhausted streams start again: (step, stream, epoch, batch)."""
-    return steps.crossJoin(F.broadcast(counts)).select("step", "stream", F.floor(F.col("step") / F.col("n_batches")).alias("epoch"), F.pmod(F.col("step"), F.col("n_batches")).alias("batch"))
+    return steps.crossJoin(counts).select("step", "stream", F.floor(F.col("step") / F.col("n_batches")).alias("epoch"), F.pmod(F.col("step"), F.col("n_batches")).alias("batch"))

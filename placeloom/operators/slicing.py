@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 def with_slice(events: DataFrame, window_us: int, offset_us: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Adds `origin` and `slice`; events before the origin go.
 
-    origin = the first event's time, or the offset if that is later. It is one row a recording, joined back by broadcast: the
-    events themselves aren't shuffled.
+    origin = the first event's time, or the offset if that is later: one row in all, or one a recording with `by`. The single row is
+    broadcast; rows a recording are joined as their size commands.
     """
     if window_us <= 0:
         raise ValueError("window must be positive")
     by = by or []
     origin = F.min("t") if offset_us is None else F.greatest(F.min("t"), F.lit(offset_us))
     bounds = events.groupBy(*by).agg(origin.alias("origin"))
-    joined = events.join(F.broadcast(bounds), by) if by else events.crossJoin(F.broadcast(bounds))
+    joined = events.join(bounds, by) if by else events.crossJoin(F.broadcast(bounds))
     return joined.where("t >= origin").withColumn("slice", F.floor((F.col("t") - F.col("origin")) / window_us).cast("long"))
 
 

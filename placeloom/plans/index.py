@@ -58,7 +58,7 @@ runs AS (SELECT CAST(500000000 + si * 1000 + run AS BIGINT) AS place_id, k.user_
 
 def _runs(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    return places.runs(e, "user_id", ["ts", "event_id"], 8, 4, 4, offset=500_000_000, carry=("event_id",))
+    return places.runs(e, "user_id", ["ts", "event_id"], 8, 4, 4, offset=500_000_000, carry=("event_id",), coarse=F.to_date("ts"))
 
 
 @query(f"WITH {_RUNS} SELECT * FROM runs")

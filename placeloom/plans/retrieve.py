@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import metrics, pairs, retrieval, truth
-from .base import GEO_SQL, RANKED_SQL, bank, geo_points, label_edges, query, rounded, table
+from .base import BOUNDED_SQL, DAY, GEO_SQL, HEIGHT, RANKED_SQL, WIDTH, bank, geo_points, label_edges, query, rounded, table
 
 K = 20
 
@@ -174,3 +174,24 @@ def memory_pairs(spark, sf_dir):
 def step_labels(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("label"), (F.col("vec_id") % 6).alias("stream_no"))
     return pairs.step_labels(e, 6).select("vec_id", "label")
+
+
+@query(f"""WITH {BOUNDED_SQL}, px AS (SELECT slice, y, x, count(*) FILTER (WHERE p > 0) AS pos, count(*) FILTER (WHERE p <= 0) AS neg FROM sliced GROUP BY ALL),
+lim AS (SELECT slice, CAST(quantile_cont(CASE WHEN pos > 0 THEN pos END, 0.99) AS FLOAT) AS pl, CAST(quantile_cont(CASE WHEN neg > 0 THEN neg END, 0.99) AS FLOAT) AS nl FROM px GROUP BY slice),
+ab AS (SELECT px.slice, CASE WHEN pl IS NULL THEN CAST(0 AS FLOAT) ELSE least(CAST(pos AS FLOAT), pl) / pl END AS a, CASE WHEN nl IS NULL THEN CAST(0 AS FLOAT) ELSE least(CAST(neg AS FLOAT), nl) / nl END AS c FROM px JOIN lim ON px.slice = lim.slice),
+win AS (SELECT slice, CASE WHEN a >= c THEN a ELSE CAST(0 AS FLOAT) END AS ip, CASE WHEN a >= c THEN CAST(0 AS FLOAT) ELSE c END AS im FROM ab),
+f AS (SELECT slice, 255 - trunc((CAST(1 AS FLOAT) - im) * CAST(255 AS FLOAT)) AS r, 255 - trunc(greatest((CAST(1 AS FLOAT) - ip) - im, CAST(0 AS FLOAT)) * CAST(255 AS FLOAT)) AS g, 255 - trunc((CAST(1 AS FLOAT) - ip) * CAST(255 AS FLOAT)) AS b FROM win),
+m AS (SELECT s.slice, 1.0::DOUBLE - coalesce(sum(r), 0) / (255.0::DOUBLE * 192) AS r, 1.0::DOUBLE - coalesce(sum(g), 0) / (255.0::DOUBLE * 192) AS g, 1.0::DOUBLE - coalesce(sum(b), 0) / (255.0::DOUBLE * 192) AS b
+  FROM (SELECT unnest(range(CAST(floor((hi - lo) / {DAY}.0) AS BIGINT) + 1)) AS slice FROM bounds) s LEFT JOIN f ON f.slice = s.slice GROUP BY s.slice),
+u AS (SELECT slice, r / sqrt(r * r + g * g + b * b) AS r, g / sqrt(r * r + g * g + b * b) AS g, b / sqrt(r * r + g * g + b * b) AS b FROM m)
+SELECT q.slice AS query_slice, count(*) AS compared, round(max(q.r * d.r + q.g * d.g + q.b * d.b), 3) AS best FROM u q, u d WHERE q.slice % 2 = 1 AND d.slice % 2 = 0 GROUP BY q.slice""")
+def event_retrieval(spark, sf_dir):
+    """Event windows end to end: frames, mean descriptors, odd days against even days."""
+    from ..sources.options import StreamOptions
+    from . import workflow
+    from .base import events
+
+    samples, found = workflow.samples_and_bank(events(spark, sf_dir), StreamOptions(window_ms=DAY / 1000, sensor_size=(WIDTH, HEIGHT)), "accumulate", workflow.mean_model, (HEIGHT, WIDTH))
+    ranked = retrieval.topk(found.where("idx % 2 = 0"), found.where("idx % 2 = 1"), 1000)
+    ranked = ranked.join(samples.select(F.col("id").alias("query_id"), F.col("slice").alias("query_slice")), "query_id")
+    return rounded(ranked.groupBy("query_slice").agg(F.count("*").alias("compared"), F.max("score").alias("best")), "best", digits=3)

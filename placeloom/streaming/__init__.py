@@ -1 +1 @@
-
+"""Structured Streaming counterparts: an extension beyond batch parity."""
