@@ -38,11 +38,15 @@ from .vocab import byte_alphabet, default_path, hf_tokenizer
 BLOCK_IDS = 1 << 18
 
 #: Characters of the plain path: composed, without case surprises, in the same class in every Unicode version.
-_RARE = re.compile("[^\\x09-\\x0d\\x20-\\x7e\\xa0\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-įı-ɀ‐-‧‰-⁞€]|<\\||\\S{4096}")
+_RARE = re.compile("[^\\x09-\\x0d\\x20-\\x7e\\xa0\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-įı-ɀ‐-‧‰-⁞€]|<\\|")
+_LONG = re.compile(r"(?:\A|\s)\S{4096}")
 _WHITE = "\n\t\r\x0b\x0c\xa0"
-#: Pre-tokens that aren't letters, set apart by spaces: the second form where digits, apostrophes or underscores occur.
-_OTHER = re.compile(r"[^\w\s]+")
-_SPECIAL, _ANY_OTHER = re.compile(r"[\d_']"), re.compile(r"'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+|\d")
+#: Pre-tokens of the plain alphabet that aren't letters, set apart by spaces: the second form where digits, apostrophes or underscores occur.
+_SIGNS = "[!-/:-@\\[-`{-~¡-©«-±´¶-¸»¿×÷‐-⁞€]+"
+_OTHER, _ANY_OTHER = re.compile(_SIGNS), re.compile(f"'(?:s|t|re|ve|m|ll|d)|{_SIGNS}|[0-9]")
+_SPECIAL = re.compile("[0-9_']")
+#: Ends a text in a run of plain texts; the plain alphabet lacks it.
+_STOP = "\x02"
 
 
 class WordEncoder:
@@ -71,14 +75,30 @@ class WordEncoder:
             raise ValueError("not a word-end BPE file whose ids are merge ranks")
         self.fast = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: str) -> bytes:
-        if _RARE.search(text):
-            return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.stop = ranks[_STOP.encode() + b" "]
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        return not (_RARE.search(text) or (len(text) >= 4096 and _LONG.search(text)))
+
+    @staticmethod
+    def apart(text: str) -> str:
         low = text.lower()
-        low = (_ANY_OTHER if _SPECIAL.search(low) else _OTHER).sub(r" \g<0> ", low)
-        for c in _WHITE:
-            low = low.replace(c, " ")
-        return self.fast.encode_to_numpy(low + " ").astype(self.dtype).tobytes()
+        return (_ANY_OTHER if _SPECIAL.search(low) else _OTHER).sub(r" \g<0> ", low)
+
+    def encode_all(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each with the end id, and where each text ends."""
+        if all(map(self.plain, texts)):
+            joined = "".join(f"{self.apart(t)} {_STOP} " for t in texts)
+            for c in _WHITE:
+                joined = joined.replace(c, " ")
+            ids = self.fast.encode_to_numpy(joined)
+            ends = np.flatnonzero(ids == self.stop)
+            ids = ids.astype(self.dtype)
+            ids[ends] = end_id
+            return ids, ends + 1
+        parts = [self.encode_all([t], end_id)[0] if self.plain(t) else np.asarray([*self.tok.encode(t, add_special_tokens=False).ids, end_id], self.dtype) for t in texts]
+        return np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
 @cache
@@ -94,12 +114,23 @@ LENGTHS = ((np.arange(256)[:, None] >> _SHIFT) & 3).astype(np.uint8) + 1
 def code(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     v = np.ascontiguousarray(values, "<u4")
-    n = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    n = (v > 0xFF).astype(np.uint8)
+    if len(v) and v.max() > 0xFFFF:
+        n += (v > 0xFFFF).astype(np.uint8) + (v > 0xFFFFFF)
     quads = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     quads[: len(v)] = n
-    control = (quads.reshape(-1, 4) << _SHIFT).sum(1, dtype=np.uint8)
-    planes = v.view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), planes[np.arange(4) <= n[:, None]].tobytes()
+    quads = quads.reshape(-1, 4)
+    control = quads[:, 0] << 6 | quads[:, 1] << 4 | quads[:, 2] << 2 | quads[:, 3]
+    ends = np.cumsum(n + np.uint8(1), dtype=np.int64)
+    starts = ends - n - 1
+    data = np.empty(int(ends[-1]) if len(v) else 0, np.uint8)
+    data[starts] = v
+    for k in range(1, 4):
+        longer = np.flatnonzero(n >= k)
+        if not len(longer):
+            break
+        data[starts[longer] + k] = v[longer] >> np.uint32(8 * k)
+    return control.tobytes(), data.tobytes()
 
 
 def uncode(control: bytes, data: bytes, count: int) -> np.ndarray:
@@ -117,17 +148,25 @@ def uncode(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 
 def token_table(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int) -> DataFrame:
-    """id_col, ids (binary, narrowest width): each text's ids with the end id."""
+    """id, ids (binary, narrowest width, with the end id) of each text; `counts` is null but in one more row a task, which has no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end = np.array([end_id], enc.dtype).tobytes()
+        total = np.zeros(enc.size, np.int64)
+        kind = None
         for part in slices(batches, text_col, 4 << 20):
-            ids = [enc.encode(t or "") for t in part.column(1).to_pylist()]
-            yield pa.record_batch([part.column(0), pa.array([x + end for x in ids], pa.binary())], names=["id", "ids"])
+            kind = part.column(0).type
+            flat, ends = enc.encode_all([t or "" for t in part.column(1).to_pylist()], end_id)
+            total += np.bincount(flat, minlength=enc.size)
+            offsets = np.zeros(len(ends) + 1, np.int64)
+            offsets[1:] = ends * enc.dtype.itemsize
+            coded = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+            yield pa.record_batch([part.column(0), coded.cast(pa.binary()), pa.nulls(len(ends), pa.binary())], names=["id", "ids", "counts"])
+        if kind is not None:
+            yield pa.record_batch([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["id", "ids", "counts"])
 
     src = df.select(id_col, text_col)
-    return src.mapInArrow(run, f"id {src.schema[id_col].dataType.simpleString()}, ids binary")
+    return src.mapInArrow(run, f"id {src.schema[id_col].dataType.simpleString()}, ids binary, counts binary")
 
 
 def flat_ids(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,17 +178,20 @@ def flat_ids(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return raw.view(f"<u{width}"), np.diff(offsets).astype(np.int64) // width
 
 
-def rank_table(tokens: DataFrame, size: int, width: int) -> DataFrame:
-    """(token, n) over all ids; each task sends one row for a token at most."""
+def rank_table(tokens: DataFrame) -> DataFrame:
+    """(token, n) over all ids. Only the counts column is read; each task sends one row for a token at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+        total = None
         for batch in batches:
-            total += np.bincount(flat_ids(batch.column(0), width)[0], minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["token", "n"])
+            for x in batch.column(0):
+                n = np.frombuffer(x.as_buffer(), np.int64)
+                total = n.copy() if total is None else total + n
+        if total is not None:
+            at = np.flatnonzero(total)
+            yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["token", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return tokens.where("counts is not null").select("counts").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 def write_token_file(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -161,7 +203,7 @@ def write_token_file(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     enc = encoder(path)
     size, width = enc.size, enc.dtype.itemsize
     tokens = written(token_table(df, id_col, text_col, path, end_id), "tokens")
-    counts = {r.token: r.n for r in rank_table(tokens, size, width).collect()}
+    counts = {r.token: r.n for r in rank_table(tokens).collect()}
     order = sorted(range(size), key=lambda t: (-counts.get(t, 0), t))
     rank_of = np.empty(size, np.uint32)
     rank_of[order] = np.arange(size, dtype=np.uint32)
@@ -194,7 +236,7 @@ def write_token_file(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if docs:
             yield block(part, seq, first, docs, sizes, held, shared.value)
 
-    keyed = tokens.withColumn("tie", F.xxhash64("ids"))  # lets a range boundary fall inside one repeated id
+    keyed = tokens.where("counts is null").select("id", "ids").withColumn("tie", F.xxhash64("ids"))  # lets a range boundary fall inside one repeated id
     ordered = keyed.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "ids").select("id", "ids")
     kind = tokens.schema["id"].dataType.simpleString()
     blocks = written(ordered.mapInArrow(pack, f"part int, seq long, first long, doc_ids array<{kind}>, n array<long>, control binary, data binary"), "tokenfile")

@@ -107,3 +107,15 @@ def test_redaction(spark):
     r = secret_scan.scan(frame(spark, SECRETS), redact=True).orderBy("doc_id").collect()
     assert r[0].redacted is None and r[1].redacted == "" and r[8].redacted == "key <secret> here"
     assert r[4].redacted == "é <secret>"
+
+
+def test_plain_alphabet_signs_are_those_of_the_tokenizer():
+    """Every plain character, alone and between letters, digits and signs."""
+    tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    enc = tokenfile.encoder(P.path("word_bpe_49k.json"))
+    texts = [f"{c} a{c}b 1{c}2 {c}{c}'s{c}.{c}" for c in map(chr, [*range(0x250), *range(0x2010, 0x205F), 0x20AC]) if enc.plain(c)]
+    assert len(texts) > 500
+    ids, ends = enc.encode_all(texts, 1)
+    want = [[*e.ids, 1] for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for w in want for i in w]
+    assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
