@@ -16,11 +16,11 @@ Cases: null or empty text: no candidate. Rows are told apart by position, so rep
 
 from __future__ import annotations
 
+import json
 import re
 from functools import cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,7 +197,7 @@ def train(steps: int = 150, rate: float = 4.0, momentum: float = 0.9, decay: flo
             for part in (text.lower(), *re.split(CUT, text.lower())):
                 for f in features(part):
                     own[f].add(family)
-    return names, b, {f: w[i] for f, i in column.items()}, own, float(temperature)
+    return names, b, {f: w[i].round(6) for f, i in column.items()}, own, float(temperature)
 
 
 def has_stem(text):
@@ -210,9 +210,9 @@ def has_stem(text):
 def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sums of weights a candidate; a text without candidates has one row with null `at`."""
     names, _, weights, own, _ = train()
-    rows = [(f, [float(v) for v in w], [float(n in own[f]) for n in names], [float(own[f] == {n}) for n in names]) for f, w in weights.items()]
-    local = pa.table(dict(zip("term w t e".split(), map(list, zip(*rows, strict=True)), strict=True)))  # a local relation of the driver: no executor runs Python
-    known = F.broadcast(df.sparkSession.createDataFrame(local))
+    rows = [{"term": f, "w": w.tolist(), "t": [int(n in own[f]) for n in names], "e": [int(own[f] == {n}) for n in names]} for f, w in weights.items()]
+    literal = F.from_json(F.lit(json.dumps(rows)), "array<struct<term: string, w: array<double>, t: array<int>, e: array<int>>>")
+    known = F.broadcast(df.sparkSession.range(1).select(F.explode(literal).alias("k")).select("k.*"))
     low = F.lower(F.col(text_col))
     src = df.select(F.col(id_col).alias("id"), F.when(has_stem(low), F.split(low, CUT)).alias("parts")).withColumn("row", F.monotonically_increasing_id())
     held = " or ".join(f"contains(p, '{stem}')" for stem in STEMS)
@@ -224,7 +224,7 @@ def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     grams = ", ".join(f"transform(sequence(1, size(words) - {n - 1}), i -> array_join(slice(words, i, {n}), ' '))" if n == 1 else f"if(size(words) < {n}, array(), transform(sequence(1, greatest(size(words) - {n - 1}, 1)), i -> array_join(slice(words, i, {n}), ' ')))" for n in (1, 2, 3))
     terms = cut.withColumn("words", words).select("row", "id", "at", F.explode_outer(F.expr(f"if(words is null, null, array_distinct(flatten(array({grams}))))")).alias("term"))
     k = range(len(names))
-    sums = [F.coalesce(F.sum(F.col(c)[i]), F.lit(0.0)).alias(f"{c}{i}") for c in "wte" for i in k]
+    sums = [F.coalesce(F.sum(F.col(c)[i].cast("double")), F.lit(0.0)).alias(f"{c}{i}") for c in "wte" for i in k]
     return terms.join(known, "term", "left").groupBy("row", "id", "at").agg(F.count("term").alias("n"), *sums)
 
 
