@@ -53,4 +53,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_wrapper, op3_tiff_media, op4_license_scan, op5_language_id, op6_bpe_roundtrip, op7_simhash, op8_shards, op9_token_file, op10_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+#: Only containment is a set computation that SQL states plainly; the other operators are held against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontamination": """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark WHERE text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, least(5, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda k: array_to_string(w[k:k + least(5, len(w)) - 1], ' '))) AS g FROM i WHERE len(w) > 0),
+size AS (SELECT item_id, count(*) AS n_shingles FROM ig GROUP BY item_id),
+widths AS (SELECT DISTINCT n FROM ig),
+dg AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, greatest(len(w) - n + 2, 1)), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS g FROM d, widths),
+hit AS (SELECT doc_id, item_id, count(*) AS n_found FROM dg JOIN ig ON dg.g = ig.g AND dg.n = ig.n GROUP BY ALL)
+SELECT doc_id, hit.item_id, n_shingles, n_found, CAST(n_found AS DOUBLE) / n_shingles AS containment FROM hit JOIN size ON hit.item_id = size.item_id WHERE n_found >= 0.8 * n_shingles""",
+}

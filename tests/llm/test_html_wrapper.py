@@ -49,6 +49,8 @@ def test_single_plain_and_odd_pages():
     assert text_of("<script>never closed <p>x</p>") == [""]
     assert text_of("<article>a <!-- never closed <p>x</p>") == ["a"]
     assert text_of("<article><p title=\"a>b\">q</p><p class='unclosed>r</p></article>") == ["q r"]
+    assert text_of("<head><title>t</title><p>kept") == ["kept"]
+    assert text_of("<article><script>var a = '<body></head>';</script>x</article>") == ["x"]
     assert hw.host_of("HTTPS://u:p@Www.Example.com:80/x?y#z") == "www.example.com" and hw.host_of(None) == hw.host_of("nope") == ""
 
 
