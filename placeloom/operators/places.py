@@ -125,3 +125,18 @@ def separation(first: DataFrame, second: DataFrame) -> DataFrame:
     """Mean and median angular separation of two streams' places. Both: place_id, mean_deg. One row."""
     d = first.join(second.withColumnRenamed("mean_deg", "other"), "place_id").select(geo.angular_difference(F.col("mean_deg"), F.col("other")).alias("d"))
     return d.agg(F.count("*").alias("shared_places"), F.avg("d").alias("mean_separation"), F.percentile("d", 0.5).alias("median_separation"))
+
+
+def by_city_rows(meta: DataFrame, listing: DataFrame, min_images: int, ext: str = ".jpg", stride: int = 100_000) -> DataFrame:
+    """City metadata as text (city_id, place_id, year, month, northdeg, lat, lon, panoid) to places: names are built, files that
+    don't exist go, places of few images go, ids are minted by city ordinal. (place_id, path)"""
+    from ..functions.names import city_view_name
+
+    name = city_view_name(*[F.col(c) for c in ("city_id", "place_id", "year", "month", "northdeg", "lat", "lon", "panoid")], ext)
+    df = with_ordinals_of_cities(meta.withColumn("path", name)).join(listing.select("path"), "path", "left_semi")
+    df = at_least(df, ["city_id", "place_id"], min_images)
+    return df.select((F.col("ci") * stride + F.col("place_id").cast("long")).cast("long").alias("place_id"), "path")
+
+
+def with_ordinals_of_cities(meta: DataFrame) -> DataFrame:
+    return numbered(meta, "city_id", "ci")

@@ -317,3 +317,26 @@ def pooled_cities(spark, sf_dir):
     references, queries = geo_points(spark, sf_dir)
     tag = lambda df, name: df.select(F.lit(name).alias("split"), "id", "city")
     return tag(references, "database").unionByName(tag(queries, "query"))
+
+
+@query("""WITH m AS (SELECT 'C' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS city, c_custkey % 50 AS pid, c_custkey AS k FROM customer),
+nm AS (SELECT *, city || '_' || lpad(CAST(pid AS VARCHAR), 7, '0') || '_2021_' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') || '_' || lpad(CAST(k * 53 % 360 AS VARCHAR), 3, '0') || '_1.50_2.25_p' || k || '.jpg' AS path, dense_rank() OVER (ORDER BY city) - 1 AS ci FROM m),
+ok AS (SELECT *, count(*) OVER (PARTITION BY city, pid) AS n FROM nm WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = k))
+SELECT CAST(ci * 100000 + pid AS BIGINT) AS place_id, path FROM ok WHERE n >= 2""")
+def place_from_csv(spark, sf_dir):
+    """City metadata in text columns against a listing of existing names."""
+    k = F.col("c_custkey")
+    text = {"city_id": F.concat(F.lit("C"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")), "place_id": k % 50, "year": F.lit("2021"), "month": k % 12 + 1, "northdeg": k * 53 % 360, "lat": F.lit("1.50"), "lon": F.lit("2.25"), "panoid": F.concat(F.lit("p"), k)}
+    meta = table(spark, sf_dir, "customer").select("c_custkey", *[v.cast("string").alias(c) for c, v in text.items()])
+    name = names.city_view_name(*[F.col(c) for c in text], ".jpg")
+    listing = meta.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select(name.alias("path"))
+    return places.by_city_rows(meta.drop("c_custkey"), listing, 2)
+
+
+@query("SELECT n_nationkey, round((degrees(atan2(CAST(n_nationkey - 12 AS DOUBLE), CAST(n_regionkey - 2 AS DOUBLE))) + 360.0) % 360.0, 6) AS b, CAST(floor((n_nationkey - 12) / 5.0) AS BIGINT) * 5 AS cell FROM nation")
+def sql_functions(spark, sf_dir):
+    """Registered SQL functions."""
+    from ..functions.register import register
+
+    register(spark)
+    return table(spark, sf_dir, "nation").selectExpr("n_nationkey", "round(bearing(double(n_nationkey - 12), double(n_regionkey - 2)), 6) as b", "grid_cell(double(n_nationkey - 12), 5L) as cell")

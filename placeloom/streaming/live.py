@@ -20,11 +20,10 @@ def live_pixels(events: DataFrame, window: str, late: str = "10 seconds") -> Dat
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "y", "x").agg(F.count_if(F.col("p") > 0).alias("pos"), F.count_if(F.col("p") <= 0).alias("neg")).select(F.col("window.start").alias("start"), "y", "x", "pos", "neg")
 
 
-def bursts(events: DataFrame, gap: str, late: str = "10 seconds", by: str | None = None) -> DataFrame:
-    """Sessions of events closer than gap."""
-    keys = [F.session_window("ts", gap)] + ([F.col(by)] if by else [])
-    out = events.withWatermark("ts", late).groupBy(*keys).agg(F.count("*").alias("n_events"))
-    return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *([by] if by else []), "n_events")
+def bursts(events: DataFrame, gap: str, by: str, late: str = "10 seconds") -> DataFrame:
+    """Sessions of events closer than gap, by recording, row or another key (streaming sessions need one)."""
+    out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), F.col(by)).agg(F.count("*").alias("n_events"))
+    return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n_events")
 
 
 def last_surface(events: DataFrame, timeout_ms: int | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def test_live_pixels_equal_batch_counts(source, tmp_path):
 
 
 def test_bursts(source, tmp_path):
-    assert sorted(r.n_events for r in run(live.bursts(source[1], "5 seconds"), "append", "bursts", tmp_path)) == [1, 2]
+    assert sorted(r.n_events for r in run(live.bursts(source[1], "5 seconds", "x"), "append", "bursts", tmp_path)) == [1, 2]
 
 
 def test_last_surface(source, tmp_path):
