@@ -22,13 +22,15 @@ def uniform(seed: int | str, *keys: Column) -> Column:
 def with_ordinal(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
     """Adds the gapless position from 0 in the order of all rows, which must be total.
 
-    Up to ONE_TASK_ROWS rows (checked) it is a plain window. Beyond that, rows are range-partitioned, sorted and written to
-    the shared folder; a row's position is its place in its part plus the sizes of earlier parts (one small row a part).
+    The rows (one a group, not one a member) are written to the shared folder first, so they are computed once. Up to
+    ONE_TASK_ROWS (checked) it is a plain window. Beyond that, rows are range-partitioned and sorted; a row's position is
+    its place in its part plus the sizes of earlier parts (one small row a part).
     """
-    if df.limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS:
-        return df.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     from ..storage import written
 
+    df = written(df, "groups")
+    if df.count() <= ONE_TASK_ROWS:
+        return df.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     placed = written(placed, "ordinal")
     part = F.shiftrightunsigned("_m", 33)

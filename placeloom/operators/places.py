@@ -31,7 +31,8 @@ def capped(df: DataFrame, place: str | list[str], n: int, order: str | list[str]
 def by_directory(images: DataFrame, min_images: int, max_images: int | None = None, offset: int = 0, stride: int = 1) -> DataFrame:
     """Class = directory: ordinal over all directories, then small ones go, then the cap. (place_id, path)."""
     df = images.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir"), "path")
-    df = at_least(numbered(df, "dir"), "dir", min_images)
+    classes = with_ordinal(df.groupBy("dir").agg(F.count("*").alias("n")), ["dir"], "ordinal").where(F.col("n") >= min_images)
+    df = df.join(classes.select("dir", "ordinal"), "dir")
     if max_images:
         df = capped(df, "dir", max_images)
     return df.select((F.lit(offset) + F.col("ordinal") * stride).cast("long").alias("place_id"), "path")
