@@ -85,14 +85,16 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return src.mapInArrow(run, f"id {src.schema[id_col].dataType.simpleString()}, fp long")
 
 
-def forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a spanning forest of the links among distinct fingerprints."""
+def forest(fps: np.ndarray, bits: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a spanning forest of the links among distinct fingerprints; with `side`, of links between sides only."""
     left, a, b = np.arange(len(fps)), [], []
     while len(left) > 1:
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
             near = np.bitwise_count(fps[left] ^ fps[at]) <= bits
+            if side is not None:
+                near &= side[left] != side[at]
             if near.any():
                 hit = left[near]
                 left = left[~near]
@@ -102,6 +104,15 @@ def forest(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
+def sides(k1: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value of each key's wildcard bit, whether only links across it are sought).
+
+    Fingerprints that agree in the whole segment meet under all its wildcards; they are linked under wildcard 0 alone.
+    """
+    at = (k1 >> 32).astype(np.uint64)
+    return ((fp >> at) & np.uint64(1)).astype(bool), (at & np.uint64(31)) != 0
+
+
 def _links(bits: int, bucket: int | None):
     """Over rows (k1, k2, fp, rep) sorted by key: links as (null, null, rep, rep), members of large buckets as they came."""
 
@@ -114,8 +125,9 @@ def _links(bits: int, bucket: int | None):
             starts = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
             ends = np.append(starts[1:], len(k1))
             a, b, over = [], [], np.zeros(len(k1), bool)
-            two = ends - starts == 2
-            first = starts[two]
+            side, across = sides(k1, fp)
+            first = starts[ends - starts == 2]
+            first = first[~across[first] | (side[first] != side[first + 1])]
             near = first[np.bitwise_count(fp[first] ^ fp[first + 1]) <= bits]
             a.append(rep[near])
             b.append(rep[near + 1])
@@ -123,7 +135,9 @@ def _links(bits: int, bucket: int | None):
                 if bucket is not None and e - s > bucket:
                     over[s:e] = True
                     continue
-                i, j = forest(fp[s:e], bits)
+                if across[s] and (side[s:e] == side[s]).all():
+                    continue
+                i, j = forest(fp[s:e], bits, side[s:e] if across[s] else None)
                 a.append(rep[s:e][i])
                 b.append(rep[s:e][j])
             return np.concatenate(a), np.concatenate(b), over
@@ -191,7 +205,7 @@ def links(distinct: DataFrame, bits: int = BITS, bucket: int = BUCKET) -> DataFr
     schema = "k1 long, k2 long, x long, y long"
 
     def level(keyed: DataFrame, limit: int | None, name: str) -> DataFrame:
-        keyed = keyed.select("k1", "k2", "fp", "rep").repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+        keyed = keyed.select("k1", "k2", "fp", "rep").repartition("k1", "k2").sortWithinPartitions("k1", "k2", "rep")
         return written(keyed.mapInArrow(_links(bits, limit), schema), name)
 
     def tagged(bits_below: int):

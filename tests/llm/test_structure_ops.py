@@ -267,3 +267,27 @@ def test_word_hashes_in_pieces(monkeypatch):
     assert len(whole) == len(re.findall(r"\w+", text.lower()))
     monkeypatch.setattr(decontam, "CHUNK", 41)
     assert (np.concatenate(list(decontam.Index.pieces(text))) == whole).all()
+
+
+def test_shards_of_equal_sizes_are_split_by_rank(spark):
+    """One size holds every group, so ranks within a size decide the shard."""
+    texts = [f"{i:06d}" for i in range(700)] + ["x" * 300] * 40 + ["y" * 300] * 40 + ["z" * 300] * 40
+    load = check_shards(shards.pack_into(frame(spark, texts), 6).collect(), texts, 6)
+    big = 40 * 308
+    assert sorted(load.values())[-3:] == [big] * 3  # three groups over an even share, one shard each
+    rest = sorted(load.values())[:3]
+    assert rest[-1] == 234 * 14 and rest[0] == 232 * 14  # full bins of the least capacity, and what is left
+
+
+def test_plans_cover_every_group_once():
+    for _ in range(150):
+        histogram = defaultdict(int)
+        for _ in range(rng.randrange(1, 40)):
+            histogram[rng.choice([1, 2, 3, 5, 50, 51, 400])] += rng.randrange(1, 4)
+        k = rng.randrange(1, 9)
+        runs = shards.plan_into(list(histogram.items()), k)
+        seen = defaultdict(list)
+        for size, a, b, at in runs:
+            assert 0 <= at < k and a < b
+            seen[size] += range(a, b)
+        assert {s: sorted(r) for s, r in seen.items()} == {s: list(range(n)) for s, n in histogram.items()}
