@@ -78,7 +78,7 @@ def retrieve(reference: DataFrame, query: DataFrame, options: StreamOptions, rep
         measured = metrics.recall(metrics.hits(ranked, edges, qry_samples.select(F.col("id").alias("query_id"))))
     ranked = ranked.where(F.col("rank") <= top_k)
     if output:
-        sinks.write_retrievals(ranked, f"{output}/retrievals.csv", one_file=True)
+        sinks.write_retrievals(ranked, f"{output}/retrievals.csv")
         tag = lambda df, side: df.withColumn("side", F.lit(side))
         sinks.write_json(tag(ref_samples, "reference").unionByName(tag(qry_samples, "query")), f"{output}/samples.json")
         run = {k: str(v) for k, v in (key | {"top_k": top_k, "reference": names[0], "query": names[1], "ground_truth": ground_truth is not None}).items()}
