@@ -9,9 +9,10 @@ merging two wrappers is the same step as aligning a page: tasks fold their pages
 task) are merged in a fixed order, over two rounds. Wrappers also carry how much text and link text each part held.
 
 Extraction walks a page along its host's wrapper. Parts that are menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or reader comments, by element, ARIA role or class words, are never main text. The main part is `main` or
-`article`; in templates without them it is the deepest wrapper part that holds most of the host's slot text outside link lists,
-and there text constant over three pages or more is template, not article.
+scripts, styles or reader comments, by element, ARIA role or class words, are never main text. `main` (all of them, whole) or
+else `article` is a hint: it is the main part unless a page's share of slot text in it is small for the host. Elsewhere the main
+part is the deepest wrapper part that holds most of the host's slot text outside link lists. In either, blocks that all
+pages with that part share are template, not article, and link lists are left out.
 
 Cases: null html = empty html = empty text. A null or odd url has the host ''. A page without markup is its own text. Repeated
 pages repeat. Unclosed elements end where HTML ends them; a cut-off tag at the end is dropped.
@@ -57,6 +58,8 @@ HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.IGNORECAS
 TEXT = "#"
 #: Shares: of slot text that the main part must hold; of link text that makes a part a link list.
 MAIN_SHARE, LINK_SHARE, CONSTANT_PAGES = 0.6, 0.6, 3
+#: Share of a page's slot text that `main` or `article` must hold on average to be taken as the main part.
+HINT_SHARE = 0.3
 
 
 def host_of(url: str | None) -> str:
@@ -165,21 +168,21 @@ def parse(html: str) -> Element:
 class Part:
     """A wrapper part. parts: ordered [labels, repeated, optional]; kids: the part of each label (once a level)."""
 
-    __slots__ = ("kids", "parts", "text", "pages", "chars", "links", "out")
+    __slots__ = ("kids", "parts", "text", "pages", "chars", "links", "out", "common")
 
     def __init__(self, out: bool = False):
-        self.kids, self.parts, self.text, self.pages, self.chars, self.links, self.out = {}, [], None, 1, 0, 0, out
+        self.kids, self.parts, self.text, self.pages, self.chars, self.links, self.out, self.common = {}, [], None, 1, 0, 0, out, frozenset()
 
-    # text: None for an element, a digest for a constant, "" for a slot
+    # text: None for an element, a digest for a constant, "" for a slot; common: digests of text blocks on all its pages
 
     def packed(self) -> list:
-        return [self.parts, self.text, self.pages, self.chars, self.links, int(self.out), {k: v.packed() for k, v in self.kids.items()}]
+        return [self.parts, self.text, self.pages, self.chars, self.links, int(self.out), {k: v.packed() for k, v in self.kids.items()}, sorted(self.common)]
 
     @classmethod
     def unpacked(cls, raw: list) -> Part:
         p = cls(bool(raw[5]))
         p.parts, p.text, p.pages, p.chars, p.links = raw[0], *raw[1:5]
-        p.kids = {k: cls.unpacked(v) for k, v in raw[6].items()}
+        p.kids, p.common = {k: cls.unpacked(v) for k, v in raw[6].items()}, frozenset(raw[7])
         return p
 
     def expression(self) -> str:
@@ -193,6 +196,10 @@ class Part:
         return " ".join(out)
 
 
+def block_key(text: str) -> str:
+    return hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
+
+
 def of_page(element: Element) -> Part:
     """The wrapper of one page: recurring siblings become repeated parts."""
     part = Part(element.out)
@@ -200,7 +207,8 @@ def of_page(element: Element) -> Part:
     for kid in element.kids:
         if isinstance(kid, tuple):
             label, child = TEXT, Part()
-            child.text, child.chars, child.links = hashlib.blake2b(kid[0].encode(), digest_size=8).hexdigest(), len(kid[0]), kid[1]
+            child.text, child.chars, child.links = block_key(kid[0]), len(kid[0]), kid[1]
+            child.common = frozenset((child.text,))
         else:
             label, child = kid.label, of_page(kid)
         place = at.get(label)
@@ -224,6 +232,7 @@ def merged(a: Part, b: Part, same_page: bool = False) -> Part:
     out.chars, out.links = a.chars + b.chars, a.links + b.links
     if a.text is not None:
         out.text = a.text if a.text == b.text else ""
+        out.common = a.common | b.common if same_page else a.common & b.common
         return out
     out.kids = dict(a.kids)
     for k, v in b.kids.items():
@@ -276,12 +285,35 @@ def main_path(wrapper: Part) -> list[str]:
         part = part.kids[best[1]]
 
 
-def main_text(page: Element, wrapper: Part, path: list[str] | None = None) -> str:
-    marked = list(marked_parts(page))
+def hinted(wrapper: Part) -> bool:
+    """Whether `main` or `article` holds enough of the host's slot text, by the page, to be its main part."""
+    found: dict[str, list[Part]] = {"main": [], "article": []}
+
+    def walk(part: Part, inside: bool):
+        for label, kid in part.kids.items():
+            if kid.out:
+                continue
+            tag = label.partition(".")[0]
+            if tag == "main" or (tag == "article" and not inside):
+                found[tag].append(kid)
+            if tag != "main":
+                walk(kid, inside or tag == "article")
+
+    walk(wrapper, False)
+    marked = found["main"] or found["article"]
+    if not marked:
+        return False
+    own = [totals(p) for p in marked]
+    chars, links = totals(wrapper)
+    return sum(c - n for c, n in own) / sum(p.pages for p in marked) >= HINT_SHARE * (chars - links) / wrapper.pages
+
+
+def main_text(page: Element, wrapper: Part, path: list[str] | None = None, hint: bool | None = None) -> str:
     blocks: list[str] = []
+    marked = list(marked_parts(page, wrapper)) if (hinted(wrapper) if hint is None else hint) else []
     if marked:
-        for element in marked:
-            collect(element, None, blocks)
+        for element, part in marked:
+            collect(element, part, blocks)
         return " ".join(blocks)
     element, part = [page], wrapper
     for label in main_path(wrapper) if path is None else path:
@@ -294,34 +326,22 @@ def main_text(page: Element, wrapper: Part, path: list[str] | None = None) -> st
     return " ".join(blocks)
 
 
-def marked_parts(element: Element) -> Iterator[Element]:
-    """Outermost `main` or `article` elements; those in `main` only, if there is one."""
-    found: dict[str, list[Element]] = {"main": [], "article": []}
+def marked_parts(element: Element, wrapper: Part) -> list[tuple[Element, Part | None]]:
+    """Outermost `main` elements with their wrapper parts, or outermost `article` elements where no `main` is."""
+    found: dict[str, list[tuple[Element, Part | None]]] = {"main": [], "article": []}
 
-    def walk(e: Element, inside: bool):
+    def walk(e: Element, part: Part | None, inside: bool):
         for kid in e.kids:
             if isinstance(kid, tuple) or kid.out:
                 continue
-            if kid.tag in found and not (inside and kid.tag == "article"):
-                found[kid.tag].append(kid)
-            walk(kid, inside or kid.tag == "article")
-
-    walk(element, False)
-    if found["main"]:
-        articles = list(marked_articles(found["main"]))
-        return iter(articles or found["main"][:1])
-    return iter(found["article"])
-
+            below = part.kids.get(kid.label) if part else None
+            if kid.tag == "main" or (kid.tag == "article" and not inside):
+                found[kid.tag].append((kid, below))
+            if kid.tag != "main":
+                walk(kid, below, inside or kid.tag == "article")
 
-def marked_articles(mains: list[Element]) -> Iterator[Element]:
-    for m in mains:
-        for kid in m.kids:
-            if isinstance(kid, tuple) or kid.out:
-                continue
-            if kid.tag == "article":
-                yield kid
-            else:
-                yield from marked_articles([kid])
+    walk(element, wrapper, False)
+    return found["main"] or found["article"]
 
 
 def collect(element: Element, part: Part | None, blocks: list[str]) -> None:
@@ -329,7 +349,7 @@ def collect(element: Element, part: Part | None, blocks: list[str]) -> None:
     for kid in element.kids:
         if isinstance(kid, tuple):
             p = part.kids.get(TEXT) if part else None
-            if not (p and p.text not in (None, "") and p.pages >= CONSTANT_PAGES):
+            if not (p and p.common and p.pages >= CONSTANT_PAGES and block_key(kid[0]) in p.common):
                 blocks.append(kid[0])
         elif not kid.out:
             below = part.kids.get(kid.label) if part else None
@@ -406,7 +426,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
         src = src.withColumn("host", host).join(wrappers, "host", "left").select("id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[Part, list[str]]] = {}
+        known: dict[str, tuple[Part, list[str], bool]] = {}
         for part in slices(batches, "html"):
             ids, urls, pages = part.column(0), part.column(1), part.column(2).to_pylist()
             raw = part.column(3).to_pylist() if shared is None else [shared.value.get(host_of(u)) for u in urls.to_pylist()]
@@ -418,7 +438,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
                     if len(known) >= 2000:
                         known.clear()
                     wrapper = Part.unpacked(json.loads(w)) if w else of_page(page)
-                    known[key] = (wrapper, main_path(wrapper))
+                    known[key] = (wrapper, main_path(wrapper), hinted(wrapper))
                 texts.append(main_text(page, *known[key]))
             yield pa.record_batch([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 

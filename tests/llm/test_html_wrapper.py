@@ -105,3 +105,21 @@ def test_pages_table(spark, sf_small):
             want = brute_article(pages[r.page_id].html) if r.page_id in pages else {None: "", 90001: "", 90002: "a"}[r.page_id]
             assert (r.text, r.n_chars) == (want, len(want))
     assert hw.extract(df.limit(0)).count() == 0
+
+
+def test_marked_pages_go_through_the_wrapper():
+    def page(k):
+        teasers = "".join(f"<li><a href=/{i}>{prose(3)}</a></li>" for i in range(3))
+        body = "".join(f"<p>{prose(12)} {k} {i}</p>" for i in range(2 + k % 3))
+        return f"<body><main><h1>Title {k}</h1><p>Lead {k}</p><article>{body}<p>Share this on every network</p><div>Posted by the desk</div><ul>{teasers}</ul></article></main><main><p>Second {k}</p></main></body>"
+
+    pages = [page(k) for k in range(5)]
+    for k, (p, got) in enumerate(zip(pages, text_of(*pages), strict=True)):
+        body = [b for b in re.findall("<p>(.*?)</p>", p) if b[:5] not in ("Lead ", "Share", "Secon")]
+        assert got == " ".join([f"Title {k}", f"Lead {k}", *body, f"Second {k}"])
+
+
+def test_article_tags_are_only_a_hint():
+    pages = [f"<body><div class=body>{''.join(f'<p>{prose(40)} {k}</p>' for _ in range(3))}</div><article><p>{prose(3)}</p></article></body>" for k in range(5)]
+    for p, got in zip(pages, text_of(*pages), strict=True):
+        assert got == " ".join(re.findall("<p>(.*?)</p>", p.partition("<article>")[0]))
