@@ -12,7 +12,8 @@ Extraction walks a page along its host's wrapper. Parts that are menus, headers,
 scripts, styles or reader comments, by element, ARIA role or class words, are never main text. `main` (all of them, whole) or
 else `article` is a hint: it is the main part unless a page's share of slot text in it is small for the host. Elsewhere the main
 part is the deepest wrapper part that holds most of the host's slot text outside link lists. In either, blocks that all
-pages with that part share are template, not article, and link lists are left out.
+pages with that part share are template, not article, if the pages have three distinct contents or more (copies of a page count
+once), and link lists are left out. A main part left without text gives its own if marked, else the page's non-template text.
 
 Cases: null html = empty html = empty text. A null or odd url has the host ''. A page without markup is its own text. Repeated
 pages repeat. Unclosed elements end where HTML ends them; a cut-off tag at the end is dropped.
@@ -168,21 +169,22 @@ def parse(html: str) -> Element:
 class Part:
     """A wrapper part. parts: ordered [labels, repeated, optional]; kids: the part of each label (once a level)."""
 
-    __slots__ = ("kids", "parts", "text", "pages", "chars", "links", "out", "common")
+    __slots__ = ("kids", "parts", "text", "pages", "chars", "links", "out", "common", "seen")
 
     def __init__(self, out: bool = False):
-        self.kids, self.parts, self.text, self.pages, self.chars, self.links, self.out, self.common = {}, [], None, 1, 0, 0, out, frozenset()
+        self.kids, self.parts, self.text, self.pages, self.chars, self.links, self.out, self.common, self.seen = {}, [], None, 1, 0, 0, out, frozenset(), frozenset()
 
     # text: None for an element, a digest for a constant, "" for a slot; common: digests of text blocks on all its pages
+    # seen: the least CONSTANT_PAGES digests of the distinct contents of its pages
 
     def packed(self) -> list:
-        return [self.parts, self.text, self.pages, self.chars, self.links, int(self.out), {k: v.packed() for k, v in self.kids.items()}, sorted(self.common)]
+        return [self.parts, self.text, self.pages, self.chars, self.links, int(self.out), {k: v.packed() for k, v in self.kids.items()}, sorted(self.common), sorted(self.seen)]
 
     @classmethod
     def unpacked(cls, raw: list) -> Part:
         p = cls(bool(raw[5]))
         p.parts, p.text, p.pages, p.chars, p.links = raw[0], *raw[1:5]
-        p.kids, p.common = {k: cls.unpacked(v) for k, v in raw[6].items()}, frozenset(raw[7])
+        p.kids, p.common, p.seen = {k: cls.unpacked(v) for k, v in raw[6].items()}, frozenset(raw[7]), frozenset(raw[8])
         return p
 
     def expression(self) -> str:
@@ -200,17 +202,33 @@ def block_key(text: str) -> str:
     return hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
 
 
-def of_page(element: Element) -> Part:
+def content_key(page: Element) -> str:
+    """A digest of a page's text outside parts that are never main text: equal for copies under other addresses."""
+    h = hashlib.blake2b(digest_size=8)
+
+    def walk(e: Element):
+        for kid in e.kids:
+            if isinstance(kid, tuple):
+                h.update(kid[0].encode() + b"\n")
+            elif not kid.out:
+                walk(kid)
+
+    walk(page)
+    return h.hexdigest()
+
+
+def of_page(element: Element, content: str | None = None) -> Part:
     """The wrapper of one page: recurring siblings become repeated parts."""
     part = Part(element.out)
+    content = content or content_key(element)
     at: dict[str, int] = {}
     for kid in element.kids:
         if isinstance(kid, tuple):
             label, child = TEXT, Part()
             child.text, child.chars, child.links = block_key(kid[0]), len(kid[0]), kid[1]
-            child.common = frozenset((child.text,))
+            child.common, child.seen = frozenset((child.text,)), frozenset((content,))
         else:
-            label, child = kid.label, of_page(kid)
+            label, child = kid.label, of_page(kid, content)
         place = at.get(label)
         if place is None:
             at[label] = len(part.parts)
@@ -233,6 +251,7 @@ def merged(a: Part, b: Part, same_page: bool = False) -> Part:
     if a.text is not None:
         out.text = a.text if a.text == b.text else ""
         out.common = a.common | b.common if same_page else a.common & b.common
+        out.seen = a.seen if a.seen == b.seen else frozenset(sorted(a.seen | b.seen)[:CONSTANT_PAGES])
         return out
     out.kids = dict(a.kids)
     for k, v in b.kids.items():
@@ -263,7 +282,7 @@ def totals(part: Part) -> tuple[int, int]:
     if part.out:
         return 0, 0
     if part.text is not None:
-        constant = part.text != "" and part.pages >= CONSTANT_PAGES
+        constant = part.text != "" and len(part.seen) >= CONSTANT_PAGES
         return (0, 0) if constant else (part.chars, part.links)
     below = [totals(k) for k in part.kids.values()]
     return sum(b[0] for b in below), sum(b[1] for b in below)
@@ -314,6 +333,9 @@ def main_text(page: Element, wrapper: Part, path: list[str] | None = None, hint:
     if marked:
         for element, part in marked:
             collect(element, part, blocks)
+        if not blocks:  # all of it is on every page: still what the page marks as its text
+            for element, _ in marked:
+                collect(element, None, blocks)
         return " ".join(blocks)
     element, part = [page], wrapper
     for label in main_path(wrapper) if path is None else path:
@@ -323,6 +345,8 @@ def main_text(page: Element, wrapper: Part, path: list[str] | None = None, hint:
         element, part = down, part.kids[label]
     for e in element:
         collect(e, part, blocks)
+    if not blocks:  # no slot text in the main part
+        collect(page, wrapper, blocks)
     return " ".join(blocks)
 
 
@@ -349,7 +373,7 @@ def collect(element: Element, part: Part | None, blocks: list[str]) -> None:
     for kid in element.kids:
         if isinstance(kid, tuple):
             p = part.kids.get(TEXT) if part else None
-            if not (p and p.common and p.pages >= CONSTANT_PAGES and block_key(kid[0]) in p.common):
+            if not (p and p.common and len(p.seen) >= CONSTANT_PAGES and block_key(kid[0]) in p.common):
                 blocks.append(kid[0])
         elif not kid.out:
             below = part.kids.get(kid.label) if part else None

@@ -123,3 +123,20 @@ def test_article_tags_are_only_a_hint():
     pages = [f"<body><div class=body>{''.join(f'<p>{prose(40)} {k}</p>' for _ in range(3))}</div><article><p>{prose(3)}</p></article></body>" for k in range(5)]
     for p, got in zip(pages, text_of(*pages), strict=True):
         assert got == " ".join(re.findall("<p>(.*?)</p>", p.partition("<article>")[0]))
+
+
+def test_copies_of_a_page_keep_their_text():
+    page = "<body><div class=body><h2>Only title</h2><p>One paragraph here</p></div><div class=ad>{}</div></body>"
+    for n in (2, 3, 5):
+        assert text_of(*[page.format(k) for k in range(n)]) == ["Only title One paragraph here"] * n
+    mixed = [page.format(0)] * 3 + [page.replace("One", f"Other {k}").format(1) for k in range(2)]
+    wrapper = hw.of_page(hw.parse(mixed[0]))
+    for p in mixed[1:]:
+        wrapper = hw.merged(hw.Part.unpacked(json.loads(hw._dump(wrapper))), hw.of_page(hw.parse(p)))
+    assert [hw.main_text(hw.parse(p), wrapper) for p in mixed] == ["One paragraph here"] * 3 + ["Other 0 paragraph here", "Other 1 paragraph here"]
+
+
+def test_copies_in_a_table(spark):
+    html = "<body><div><h1>Only title</h1><p>One paragraph here</p></div></body>"
+    df = spark.createDataFrame([(i, f"http://a.example/x?utm={i}", html) for i in range(6)], "page_id long, url string, html string").repartition(3)
+    assert {r.text for r in hw.extract(df).collect()} == {"Only title One paragraph here"}
