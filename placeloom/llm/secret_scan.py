@@ -2,9 +2,10 @@
 
 Base kinds are fixed patterns, leftmost and non-overlapping per kind, filtered after matching:
 assign, access, hex. The method adds kind `random`: a run of key characters that a BPE vocabulary
-learned from prose cannot shorten, that is, one with few characters a token. Runs that a base span
-already touches, known digests (hex of a digest's length), UUIDs, numbers and identifiers (words
-joined by case or punctuation) are excluded first.
+learned from prose cannot shorten, that is, one with few characters a token. The limit depends on the
+classes of characters; it is asked of the run's segments between signs, of the run and of windows of it
+that hold both cases and digits, so that a path or name beside a key does not hide it. Runs that a base
+span already touches, known digests (hex of a digest's length), UUIDs and numbers are excluded first.
 
 Spans are `kind:start:end` in code points, end exclusive, over the whole match. One narrow map
 stage; nothing is shuffled. Cases: null text = empty text = no spans. Repeated rows repeat.
@@ -34,13 +35,19 @@ DIGESTS = (32, 40, 56, 64, 96, 128)
 
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]+")
+SIGNS = re.compile("[+/_=-]+")
+NUMBER = re.compile("[0-9]+[eE]?")
 MIXED = (re.compile("[a-z]"), re.compile("[A-Z]"), re.compile("[0-9]"))
 
-#: Characters a token: random runs of mixed classes lie below, prose well above.
-MAX_RATIO = 1.65
-#: Stricter for runs of one letter case, which long invented or compound words may resemble.
-MAX_RATIO_ONE_CLASS = 1.4
+#: Characters of a segment or window at least, and the step between windows.
+SEGMENT, WINDOW, STEP = 20, 24, 2
+#: Most characters a token of random segments: one letter case, hex digits, one case with digits, both cases. Set on random strings
+#: against words and identifiers; the first three are asked of the lower-case form, which words of capitals shorten to as well.
+MAX_LETTERS, MAX_HEX, MAX_DIGITS, MAX_CASES = 2.02, 2.25, 1.9, 1.75
+#: The same for a window that may hold signs, if it has both cases and digits, and for a run of both cases with few signs.
+MAX_WINDOW, MAX_RUN = 1.6, 1.7
+#: Distinct characters a segment must have: fewer are repeats, Roman numbers or bases.
+MIN_DISTINCT = 7
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -52,15 +59,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def identifier(run: str) -> bool:
-    """Words of two letters or more, or numbers, joined by case changes and punctuation."""
-    bare = re.sub("[+/_=-]", "", run)
-    return "".join(WORDS.findall(run)) == bare and sum(map(str.isdigit, bare)) * 3 <= len(bare) and len(WORDS.findall(run)) * 4 <= len(bare)
+def known(body: str) -> bool:
+    return NUMBER.fullmatch(body) is not None or (len(body) in DIGESTS and HEX.fullmatch(body.lower()) is not None) or UUID.fullmatch(body) is not None
 
 
-def excluded(run: str) -> bool:
-    body = run.strip("=-_/+")
-    return body.isdigit() or (len(body) in DIGESTS and HEX.fullmatch(body.lower()) is not None) or UUID.fullmatch(body) is not None or identifier(run)
+def plain_order(piece: str) -> bool:
+    """Few distinct characters, or a stretch of the alphabet."""
+    return len(set(piece)) < MIN_DISTINCT or 2 * sum(ord(b) - ord(a) == 1 for a, b in zip(piece, piece[1:], strict=False)) >= len(piece)
 
 
 class Efficiency:
@@ -68,11 +73,32 @@ class Efficiency:
         self.encoding = tiktoken_encoding(ranks_path, pattern)
         self.is_random = lru_cache(100_000)(self._is_random)
 
+    def ratio(self, piece: str) -> float:
+        return len(piece) / len(self.encoding.encode_ordinary(piece))
+
+    def segment(self, piece: str) -> bool:
+        """A stretch without signs."""
+        if len(piece) < SEGMENT or known(piece) or plain_order(piece):
+            return False
+        lower, upper, digit = (p.search(piece) is not None for p in MIXED)
+        if lower and upper:
+            return self.ratio(piece) <= MAX_CASES
+        low = piece.lower()
+        return self.ratio(low) <= (MAX_LETTERS if not digit else MAX_HEX if HEX.fullmatch(low) else MAX_DIGITS)
+
+    def window(self, piece: str) -> bool:
+        return all(p.search(piece) for p in MIXED) and self.ratio(piece) <= MAX_WINDOW and not plain_order(piece)
+
+    def few_signs(self, run: str) -> bool:
+        return 10 * sum(map(len, SIGNS.findall(run))) <= len(run) and all(p.search(run) for p in MIXED[:2]) and self.ratio(run) <= MAX_RUN and not plain_order(run)
+
     def _is_random(self, run: str) -> bool:
-        if excluded(run):
+        if known(run.strip("=-_/+")):
             return False
-        ratio = len(run) / len(self.encoding.encode_ordinary(run))
-        return ratio <= (MAX_RATIO if sum(p.search(run) is not None for p in MIXED) > 1 else MAX_RATIO_ONE_CLASS)
+        if any(map(self.segment, SIGNS.split(run))) or self.window(run) or self.few_signs(run):
+            return True
+        last = len(run) - WINDOW
+        return all(p.search(run) for p in MIXED) and any(self.window(run[at : at + WINDOW]) for at in [*range(0, last, STEP), last] if at >= 0)
 
     def spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         found = []

@@ -119,3 +119,17 @@ def test_plain_alphabet_signs_are_those_of_the_tokenizer():
     want = [[*e.ids, 1] for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert ids.tolist() == [i for w in want for i in w]
     assert ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
+def test_random_keys_of_any_alphabet_and_neighbour():
+    test = secret_scan.Efficiency(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    draw = random.Random(11)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for signs in (lower, upper, lower + digits, upper + "234567", upper + digits, digits + "ABCDEF", lower + upper, lower + upper + digits, lower + upper + digits + "-_"):
+        for n in (20, 24, 36, 47):
+            assert sum(test.is_random("".join(draw.choices(signs, k=n))) for _ in range(200)) >= 186, (signs, n)
+    for before in ("client_key_value=", "/path/to/download/", "my-config-name-"):
+        assert sum(test.is_random(before + "".join(draw.choices(lower + upper + digits, k=24))) for _ in range(200)) >= 196
+    words = "Donaudampfschifffahrtsgesellschaft anticonstitutionnellement INTERNATIONALIZATIONSUPPORT BUNDESVERFASSUNGSGERICHT getHttpResponseCodeFromServer"
+    words += " my_long_variable_name_here /usr/share/texmf/dist/scripts/more zzzzzzzzzzzzzzzzzzzzzzzz abcdefghijklmnopqrstuvwxyz 85277838274214270114E-13 test_version2_of_the_parser3"
+    assert [w for w in words.split() if test.is_random(w)] == []
