@@ -6,7 +6,9 @@ word 1- to 3-grams. A multinomial logistic regression over these sparse features
 templates below (whole notices and windows of them; windows that several families share, and the fixed other lines, are the unknown
 class), gives each family's probability at a fitted temperature. The top family stands if its probability reaches
 `MIN_PROBABILITY` and template comparison confirms it: at least `MIN_OVERLAP` of the paragraph's features occur in that
-family's templates, and one of them in no other family's. Otherwise the candidate is unknown.
+family's templates, and one of them in no other family's. A candidate where it does not stand, as a notice within a longer
+sentence, takes the family of a phrase that it holds whole: a sentence of the templates of `PHRASE_WORDS` words or more that is one
+family's alone, or a name of `PHRASES` beside a word that grants (`GRANTS`). Otherwise the candidate is unknown.
 
 The plan is one scan, an explode of features, a broadcast join with the weights (as many rows as the templates have features: fixed
 in size), and two partial aggregations by row number: no text is shuffled, no group grows with a licence's popularity.
@@ -24,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STEMS = ("licen", "copyright", "copyleft", "permission", "warrant", "redistribut", "unencumbered", "public domain", "rights reserved", "creative commons", "gnu ", "mozilla public", "unauthorized copying")
+STEMS = ("licen", "copyright", "copyleft", "permission", "warrant", "redistribut", "unencumbered", "public domain", "rights reserved", "creative commons", "gnu ", "mozilla public", "unauthorized copying", "spdx", "gpl", "apache", "bsd", "cc0", "cc by", "cc-by")
 UNKNOWN = "unknown"
 MIN_PROBABILITY, MIN_OVERLAP = 0.6, 0.6
 
@@ -36,6 +38,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "The MIT License (MIT). SPDX-License-Identifier: MIT. License: MIT. MIT licensed. Distributed under the MIT License. Available under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The Software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -116,6 +119,27 @@ OTHERS = (
     "The bar has a liquor license. Licensed to serve food. A licensed electrician did the work. License fees rose. The licensing board met.",
 )
 
+#: Words of a template sentence that is a phrase by itself.
+PHRASE_WORDS = 5
+#: Names by family, in plain words.
+PHRASES: dict[str, tuple[str, ...]] = {
+    "MIT": ("mit license", "mit licensed", "license mit", "identifier mit"),
+    "Apache-2.0": ("apache license", "apache 2 0", "identifier apache", "license apache"),
+    "GPL": ("gnu general public license", "gnu gpl", "the gpl", "license gpl", "identifier gpl", "gpl 2 0", "gpl 3 0", "gplv2", "gplv3", "gpl v2", "gpl v3", "gpl version 2", "gpl version 3"),
+    "LGPL": ("gnu lesser general public license", "gnu lgpl", "the lgpl", "license lgpl", "identifier lgpl", "lgplv2", "lgplv3", "lgpl v3"),
+    "AGPL": ("gnu affero general public license", "gnu agpl", "the agpl", "license agpl", "identifier agpl", "agplv3", "agpl v3"),
+    "BSD": ("bsd license", "bsd 2 clause", "bsd 3 clause", "bsd style license", "license bsd", "identifier bsd"),
+    "MPL": ("mozilla public license", "the mpl", "license mpl", "identifier mpl", "mpl 2 0"),
+    "EPL": ("eclipse public license", "identifier epl", "epl 2 0"),
+    "ISC": ("isc license", "isc licensed", "license isc", "identifier isc"),
+    "Public-Domain": ("cc0", "creative commons zero", "the unlicense", "identifier unlicense"),
+    "CC-BY": ("cc by", "creative commons attribution"),
+    "CC-BY-SA": ("cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"),
+    "CC-BY-NC": ("cc by nc", "creative commons attribution noncommercial", "creative commons attribution non commercial"),
+    "CC-BY-ND": ("cc by nd", "creative commons attribution noderivatives", "creative commons attribution no derivatives"),
+}
+GRANTS = ("under", "copyright", "spdx", "terms", "license mit", "license apache", "license gpl", "license lgpl", "license agpl", "license bsd", "license mpl", "license isc", "cc0", "photo", "image", "by 2 0", "by 3 0", "by 4 0", "sa 2 0", "sa 3 0", "sa 4 0", "nc 4 0", "nd 4 0")
+
 #: Other spellings are brought to one before features are cut.
 _SPELLING = (("licence", "license"), ("licencing", "licensing"))
 
@@ -200,6 +224,41 @@ def train(steps: int = 150, rate: float = 4.0, momentum: float = 0.9, decay: flo
     return names, b, {f: w[i].round(6) for f, i in column.items()}, own, float(temperature)
 
 
+@cache
+def phrases() -> dict[str, tuple[tuple[str, ...], tuple[str, ...]]]:
+    """Template sentences and names of a family, in plain words."""
+    by: dict[str, set[str]] = {}
+    for family, texts in TEMPLATES.items():
+        for text in texts:
+            for part in re.split(CUT, text.lower()):
+                w = words_of(part)
+                if len(w) >= PHRASE_WORDS and features(part):
+                    by.setdefault(" ".join(w), set()).add(family)
+    held = {p: next(iter(k)) for p, k in by.items() if len(k) == 1}
+    # a sentence that another family's sentence or an other text holds says nothing by itself
+    whole = [(family, " ".join(words_of(t.lower()))) for family, texts in [*TEMPLATES.items(), (UNKNOWN, OTHERS)] for t in texts]
+    held = {p: family for p, family in held.items() if not any(f"{p} " in f"{t} " and f != family for f, t in whole)}
+    return {family: (tuple(sorted(p for p, f in held.items() if f == family)), PHRASES.get(family, ())) for family in TEMPLATES}
+
+
+def phrase_families(words):
+    """Column of flags by family (unknown first), of a column of a candidate's words."""
+    rows = [{"sentences": [], "names": [], "longer": []}]
+    for family, (sentences, names) in phrases().items():
+        # longer names of other families are taken out before a family's names are looked for
+        longer = {q for other, (_, qs) in phrases().items() if other != family for q in qs if any(f" {p} " in f" {q} " for p in names)}
+        rows.append({k: [f" {p} " for p in some] for k, some in (("sentences", sentences), ("names", names), ("longer", sorted(longer, key=lambda q: (-len(q), q))))})
+    known = F.from_json(F.lit(json.dumps(rows)), "array<struct<sentences: array<string>, names: array<string>, longer: array<string>>>")
+    text = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    grants = F.exists(F.array(*[F.lit(f" {g} ") for g in GRANTS]), lambda g: F.contains(text, g))
+
+    def flag(k):
+        left = F.aggregate(k["longer"], text, lambda t, q: F.replace(t, q, F.lit(" # ")))
+        return (F.exists(k["sentences"], lambda p: F.contains(text, p)) | (grants & F.exists(k["names"], lambda p: F.contains(left, p)))).cast("int")
+
+    return F.transform(known, flag)
+
+
 def has_stem(text):
     out = F.contains(text, F.lit(STEMS[0]))
     for stem in STEMS[1:]:
@@ -222,10 +281,11 @@ def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         spelled = F.replace(spelled, F.lit(a), F.lit(b))
     words = F.split(F.trim(F.regexp_replace(spelled, r"[^\p{L}\p{N}]+", " ")), " ")
     grams = ", ".join(f"transform(sequence(1, size(words) - {n - 1}), i -> array_join(slice(words, i, {n}), ' '))" if n == 1 else f"if(size(words) < {n}, array(), transform(sequence(1, greatest(size(words) - {n - 1}, 1)), i -> array_join(slice(words, i, {n}), ' ')))" for n in (1, 2, 3))
-    terms = cut.withColumn("words", words).select("row", "id", "at", F.explode_outer(F.expr(f"if(words is null, null, array_distinct(flatten(array({grams}))))")).alias("term"))
+    told = cut.withColumn("words", words).withColumn("held", F.when(F.col("at").isNotNull(), phrase_families(F.col("words"))))
+    terms = told.select("row", "id", "at", "held", F.explode_outer(F.expr(f"if(words is null, null, array_distinct(flatten(array({grams}))))")).alias("term"))
     k = range(len(names))
     sums = [F.coalesce(F.sum(F.col(c)[i].cast("double")), F.lit(0.0)).alias(f"{c}{i}") for c in "wte" for i in k]
-    return terms.join(known, "term", "left").groupBy("row", "id", "at").agg(F.count("term").alias("n"), *sums)
+    return terms.join(known, "term", "left").groupBy("row", "id", "at").agg(F.count("term").alias("n"), F.first("held").alias("held"), *sums)
 
 
 def verdicts(sums: DataFrame) -> DataFrame:
@@ -234,11 +294,13 @@ def verdicts(sums: DataFrame) -> DataFrame:
     k = range(len(names))
     n = F.greatest(F.col("n"), F.lit(1))
     z = F.array(*[(F.col(f"w{i}") / F.sqrt(n) + F.lit(float(bias[i]))) / F.lit(temperature) for i in k])
-    out = sums.select("row", "id", "at", z.alias("z"), F.array(*[F.col(f"t{i}") / n for i in k]).alias("t"), F.array(*[F.col(f"e{i}") for i in k]).alias("e")).withColumn("top", F.array_max("z"))
-    out = out.withColumn("best", F.array_position("z", F.col("top")).cast("int")).withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda total, v: total + F.exp(v - F.col("top"))))
-    out = out.withColumn("overlap", F.element_at("t", F.col("best")))
-    stands = (F.col("best") > 1) & (F.col("probability") >= MIN_PROBABILITY) & (F.col("overlap") >= MIN_OVERLAP) & (F.element_at("e", F.col("best")) > 0)
-    label = F.when(stands, F.element_at(F.array(*map(F.lit, names)), F.col("best"))).otherwise(UNKNOWN)
+    out = sums.select("row", "id", "at", "held", z.alias("z"), F.array(*[F.col(f"t{i}") / n for i in k]).alias("t"), F.array(*[F.col(f"e{i}") for i in k]).alias("e")).withColumn("top", F.array_max("z"))
+    out = out.withColumn("first", F.array_position("z", F.col("top")).cast("int")).withColumn("total", F.aggregate("z", F.lit(0.0), lambda total, v: total + F.exp(v - F.col("top"))))
+    stands = (F.col("first") > 1) & (1 / F.col("total") >= MIN_PROBABILITY) & (F.element_at("t", F.col("first")) >= MIN_OVERLAP) & (F.element_at("e", F.col("first")) > 0)
+    told = F.array_max(F.zip_with("z", "held", lambda v, h: F.when(h > 0, v)))  # of the families of phrases the likeliest
+    out = out.withColumn("stands", stands).withColumn("best", F.when(F.col("stands"), F.col("first")).otherwise(F.coalesce(F.array_position("z", told).cast("int"), F.col("first"))))
+    out = out.withColumn("probability", F.exp(F.element_at("z", F.col("best")) - F.col("top")) / F.col("total")).withColumn("overlap", F.element_at("t", F.col("best")))
+    label = F.when(F.col("stands") | told.isNotNull(), F.element_at(F.array(*map(F.lit, names)), F.col("best"))).otherwise(UNKNOWN)
     return out.select("row", "id", "at", F.when(F.col("at").isNotNull(), label).alias("family"), "probability", "overlap")
 
 

@@ -67,3 +67,25 @@ def test_planted_lines_of_the_test_tables(spark, sf_small):
     line = re.compile("^(Licensed|Released|This work is licensed) under |^All rights reserved", re.M)
     for r in df.collect():
         assert (got[r.doc_id].n_license > 0) == bool(line.search(r.text or ""))
+
+
+LONGER = {
+    "The code in this repository is released under the MIT License and may be reused freely by anyone": "MIT",
+    "All of the files here are licensed under the Apache License, Version 2.0 unless a file header says otherwise": "Apache-2.0",
+    "for the record we all agree that it is Licensed under the Apache License, Version 2.0": "Apache-2.0",
+    "Please note that this work is licensed under the GNU General Public License, version 3": "GPL",
+    "Please note that the tool is distributed under the GNU Affero General Public License": "AGPL",
+    "Photo by Jane Doe of the river at dawn, CC BY 4.0": "CC-BY",
+    "Photo by Jane Doe of the river at dawn, CC BY-SA 4.0": "CC-BY-SA",
+    "Copyright (c) 2019 the project team and contributors, MIT License": "MIT",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.': "MIT",
+    "// SPDX-License-Identifier: BSD-3-Clause": "BSD",
+    "To the public these data are given under CC0": "Public-Domain",
+    "The apache helicopter landed": "", "He is licensed under the state law of Ohio": "", "Everything here is released under the Zork License and may be reused freely": "",
+    "The bsd daemon and the copyright of its picture are discussed": "",
+}
+
+
+def test_notices_within_longer_sentences(spark):
+    got = {r.doc_id: r for r in lic.scan(spark.createDataFrame([(i, t) for i, t in enumerate(LONGER)], "doc_id long, text string")).collect()}
+    assert {t: got[i].families for i, t in enumerate(LONGER)} == LONGER
