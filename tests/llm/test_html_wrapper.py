@@ -2,6 +2,9 @@ import html as htmllib
 import json
 import random
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from placeloom.llm import html_wrapper as hw
 
@@ -51,7 +54,6 @@ def test_single_plain_and_odd_pages():
     assert text_of("<article><p title=\"a>b\">q</p><p class='unclosed>r</p></article>") == ["q r"]
     assert text_of("<head><title>t</title><p>kept") == ["kept"]
     assert text_of("<article><script>var a = '<body></head>';</script>x</article>") == ["x"]
-    assert hw.host_of("HTTPS://u:p@Www.Example.com:80/x?y#z") == "www.example.com" and hw.host_of(None) == hw.host_of("nope") == ""
 
 
 def test_wrapper_expression():
@@ -140,3 +142,86 @@ def test_copies_in_a_table(spark):
     html = "<body><div><h1>Only title</h1><p>One paragraph here</p></div></body>"
     df = spark.createDataFrame([(i, f"http://a.example/x?utm={i}", html) for i in range(6)], "page_id long, url string, html string").repartition(3)
     assert {r.text for r in hw.extract(df).collect()} == {"Only title One paragraph here"}
+
+
+def test_hosts(spark):
+    urls = [("HTTPS://u:p@Www.Example.com:80/x?y#z", "www.example.com"), (None, ""), ("nope", ""), ("http://MÜNCHEN.example/ß", "münchen.example"), ("//x.example", "")]
+    df = spark.createDataFrame(urls, "url string, host string")
+    assert df.where(hw.host_of(F.col("url")) != F.col("host")).count() == 0
+
+
+def test_non_ascii_hosts_and_both_ways_of_sending_wrappers(spark, monkeypatch):
+    rows = [(i, f"https://{'MÜNCHEN' if i % 2 else 'münchen'}.example/{i}", f"<body><div>{prose(5)} {i}</div><p>Every page has this</p></body>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = []
+    for limit in (hw.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(hw, "BROADCAST_BYTES", limit)
+        got.append({r.page_id: r.text for r in hw.extract(df).collect()})
+    assert got[0] == got[1] == {i: re.search("<div>(.*?)</div>", h)[1] for i, _, h in rows}
+
+
+def test_malformed_pages_take_linear_time():
+    n = 200_000
+    pages = {
+        "<a" * n: "", "<a" * n + ">x": "x", "<p>a</p>" + "<a '>' " * n + '">b': None, "<" * n: "<" * n, "<p>" * n + "x": "x", "<div>" * n + "x" + "</div>" * n + "y": "x y",
+        "<div>" * n + "</p>" * n + "x": "x", "<svg>" * n + "x": "x", "<!--" * n: "", "<script>" * n: "", "</script   " * n: "", "<ul><li>" * n + "x": "x", "<table><tr><td>" * n + "x": "x", "<nav>" * n + "x": "",
+        "<p class='" + "a " * n + "'>x": "x", "<p " + "a=b " * n + ">x": "x", "<a b=\"" * n + "x": "",
+    }
+    for html, want in pages.items():
+        began = time.perf_counter()
+        got = text_of(html)
+        assert time.perf_counter() - began < 12, html[:20]
+        assert want is None or got == [want], html[:20]
+
+
+def test_depth_is_bounded_without_loss():
+    deep = "<article>" + "<div>" * 5000 + "<p>one</p><nav>menu</nav><section>two<div class=ad>buy<p>now</p></div>three</section>" + "</div>" * 5000 + "<p>four</p></article>"
+    assert text_of(deep, deep) == ["one two three four"] * 2
+    wrapper = hw.merged(hw.of_page(hw.parse(deep)), hw.of_page(hw.parse(deep)))
+    assert hw.main_text(hw.parse(deep), hw.Part.unpacked(json.loads(hw._dump(wrapper)))) == "one two three four"
+
+
+def test_elements_that_hold_no_text_end_where_they_end():
+    assert text_of('<p>a</p><svg class="i"/><p>b</p>') == ["a b"]
+    assert text_of('<p>a</p><iframe src="x"/><p>b</p>') == ["a b"]
+    assert text_of("<p>a</p><noscript><p>b</p>") == ["a b"]
+    assert text_of("<p>a</p><svg><text>no</text></svg><p>b</p><NOSCRIPT>no</noscript >c") == ["a b c"]
+    assert text_of("<p>a<!-->b<!--->c<!-- d --><style>e</style>f</p>") == ["abcf"]
+
+
+def test_class_words_beside_other_words_keep_the_part():
+    for kept in ("related-work", "share-price", "reply-brief", "noticePeriod", "search-for-meaning"):
+        assert text_of(f"<article><p>a</p><div class='{kept}'>b</div></article>") == ["a b"], kept
+    for lost in ("related-posts", "share", "share-buttons", "notice", "cookie-notice", "site-header", "comment-body", "reader comments"):
+        assert text_of(f"<article><p>a</p><div class='{lost}'>b</div></article>") == ["a"], lost
+
+
+def test_generated_class_names_bound_the_wrapper():
+    def page(k):
+        return f"<body><div class='x{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyz'[k // 100]}'><p>{prose(8)} {k}</p><p>{prose(6)} {k}</p></div><div class='sidebar y{k % 7}'>{prose(9)}</div><p>On every page of it</p></body>"
+
+    pages = [page(k) for k in range(300)]
+    rng.shuffle(pages)
+    texts = []
+    for order in (pages, pages[::-1], sorted(pages)):
+        halves = []
+        for half in (order[:120], order[120:]):
+            wrapper = hw.of_page(hw.parse(half[0]))
+            for p in half[1:]:
+                wrapper = hw.merged(wrapper, hw.of_page(hw.parse(p)))
+            halves.append(hw.Part.unpacked(json.loads(hw._dump(wrapper))))
+        wrapper = hw.merged(*halves)
+        assert wrapper.kids["body"].plain and len(hw._dump(wrapper)) < 4000
+        texts.append({p: hw.main_text(hw.parse(p), wrapper) for p in pages})
+    assert texts[0] == texts[1] == texts[2]
+    assert all(got == " ".join(re.findall("<p>(.*?)</p>", p)[:2]) for p, got in texts[0].items())
+
+
+def test_no_page_bypasses_the_wrapper(spark, sf_small, monkeypatch):
+    """Slot texts, not tags, decide: with article renamed the texts stay, in any grouping of the pages."""
+    df = spark.read.parquet(f"{sf_small}/pages.parquet").cache()
+    renamed = df.withColumn("html", F.regexp_replace("html", "(</?)article", "$1div"))
+    want = {r.page_id: r.text for r in hw.extract(df).collect()}
+    for parts in (1, 7):
+        assert {r.page_id: r.text for r in hw.extract(df.repartition(parts)).collect()} == want
+        assert {r.page_id: r.text for r in hw.extract(renamed.repartition(parts)).collect()} == want
