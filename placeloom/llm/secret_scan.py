@@ -46,6 +46,8 @@ SEGMENT, WINDOW, STEP = 20, 24, 2
 MAX_LETTERS, MAX_HEX, MAX_DIGITS, MAX_CASES = 2.02, 2.25, 1.9, 1.75
 #: The same for a window that may hold signs, if it has both cases and digits, and for a run of both cases with few signs.
 MAX_WINDOW, MAX_RUN = 1.6, 1.7
+#: Runs up to this many characters are remembered, so that the memory is bounded.
+REMEMBER = 256
 #: Distinct characters a segment must have: fewer are repeats, Roman numbers or bases.
 MIN_DISTINCT = 7
 
@@ -71,7 +73,7 @@ def plain_order(piece: str) -> bool:
 class Efficiency:
     def __init__(self, ranks_path: str, pattern: str):
         self.encoding = tiktoken_encoding(ranks_path, pattern)
-        self.is_random = lru_cache(100_000)(self._is_random)
+        self._remembered = lru_cache(100_000)(self._is_random)
 
     def ratio(self, piece: str) -> float:
         return len(piece) / len(self.encoding.encode_ordinary(piece))
@@ -92,6 +94,9 @@ class Efficiency:
     def few_signs(self, run: str) -> bool:
         return 10 * sum(map(len, SIGNS.findall(run))) <= len(run) and all(p.search(run) for p in MIXED[:2]) and self.ratio(run) <= MAX_RUN and not plain_order(run)
 
+    def is_random(self, run: str) -> bool:
+        return self._remembered(run) if len(run) <= REMEMBER else self._is_random(run)
+
     def _is_random(self, run: str) -> bool:
         if known(run.strip("=-_/+")):
             return False
@@ -101,9 +106,13 @@ class Efficiency:
         return all(p.search(run) for p in MIXED) and any(self.window(run[at : at + WINDOW]) for at in [*range(0, last, STEP), last] if at >= 0)
 
     def spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found = []
+        """Random runs that touch none of the sorted `taken`: one pass over both."""
+        found, k, reach = [], 0, -1  # reach: the furthest end of the taken spans that start before the run's end
         for m in RUN.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, _, b in taken) and self.is_random(m[0]):
+            while k < len(taken) and taken[k][0] < m.end():
+                reach = max(reach, taken[k][2])
+                k += 1
+            if reach <= m.start() and self.is_random(m[0]):
                 found.append((m.start(), 3, m.end()))
         return found
 
@@ -155,7 +164,10 @@ def without(text: str | None, spans: list[tuple[int, int, int]], mark: str = "<s
 
 
 def redact(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """The same rows and columns with all spans of the text replaced; a changed text's length goes to chars_col, if there is one."""
+    """The same rows and columns with all spans of the text replaced; a changed text's length goes to chars_col, if there is one.
+
+    Overlapping spans become one mark. A null text stays null, an empty one empty; repeated rows repeat; empty in, empty out.
+    """
     if ranks_path is None:
         import public_tokenizers
 

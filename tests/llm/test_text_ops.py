@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import sys
+import time
 import zlib
 
 import numpy as np
@@ -44,6 +46,28 @@ def test_tree_concatenation_at_any_leaf_size():
                 assert tree.encode(s) == raw.encode(s, add_special_tokens=False).ids
 
 
+def test_text_trees_equal_the_library_at_any_leaf_size(spark, sf_small):
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    long = [r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect() if r.text]
+    texts = [t for t in ODD + SECRETS if t] + long
+    texts += ["".join(rng.choice([" ", "  ", "\n", "a", "it's", "été", " 12", "!?", "\u00a0", "\x1f", "日本", "😀", "<|endoftext|>"]) for _ in range(500)) for _ in range(20)]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    for leaf in (1, 3, 50, 2048):
+        for ranks in (P.path("byte_bpe_50k.tiktoken"), None):
+            if ranks is None and leaf > 3:
+                continue
+            c = bpe.Codec(P.path("byte_bpe_50k.json"), ranks, P.PATTERN, leaf=leaf)
+            some = [(t, w) for t, w in zip(texts, want, strict=True) if leaf > 3 or len(t) < 800]
+            assert all(c.encode(t).tolist() == w for t, w in some), leaf
+
+
+def test_documents_take_the_tree(spark, sf_small):
+    for sf in (sf_small, sf_small.replace("0.001", "0.01")):
+        df = spark.read.parquet(f"{sf}/documents.parquet")
+        got = bpe.encode_decode(df, keep=("n_chars",)).toPandas()
+        assert (got.n_joins[got.n_chars > bpe.LEAF] > 0).all() and (got.n_joins > 0).sum() > 20
+
+
 def test_token_file_equals_library(spark):
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     blocks, ranks = tokenfile.write_token_file(frame(spark, ODD + ODD[:3]))
@@ -103,6 +127,63 @@ def test_secret_scan(spark):
     assert got[8].spans == "random:4:27" and [got[i].n_random for i in (9, 10, 11, 12)] == [0, 0, 0, 0]
 
 
+def test_many_spans_take_linear_time():
+    test = secret_scan.Efficiency(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    draw = random.Random(4)
+    token = lambda: f"{draw.getrandbits(160):040x}"
+    text = " ".join(token() for _ in range(100_000)) + " Zx9qLw3RtY7pVb2NmK4sQ8d " + token() + "-Zx9qLw3RtY7pVb2NmK4sQ8d"
+    began = time.perf_counter()
+    base = secret_scan.base_spans(text)
+    found = test.spans(text, base)
+    assert time.perf_counter() - began < 20 and len(base) == 100_001
+    assert [text[a:b] for a, _, b in found] == ["Zx9qLw3RtY7pVb2NmK4sQ8d"]
+
+
+def brute_random(test, text, base):
+    """Runs of 20 key characters or more that share no character with a base span, asked one by one."""
+    taken = {i for a, _, b in base for i in range(a, b)}
+    runs, at = [], 0
+    for i, c in enumerate(text + " "):
+        if not (c.isascii() and (c.isalnum() or c in "+/_=-")):
+            if i - at >= 20:
+                runs.append((at, i))
+            at = i + 1
+    return [(a, 3, b) for a, b in runs if taken.isdisjoint(range(a, b)) and test.is_random(text[a:b])]
+
+
+def test_random_spans_against_brute_force(spark, sf_small):
+    test = secret_scan.Efficiency(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    draw = random.Random(9)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
+    bits = ["the cat sat", "token=abcdef", "f" * 24, "AKIA" + "Z" * 17, ", ", "\n", "/usr/local/share/doc/", "getHttpResponseCodeFromServer"]
+    texts = ["".join(draw.choice([*bits, " ", " ", "".join(draw.choices(signs, k=draw.randrange(1, 60)))]) for _ in range(60)) for _ in range(60)]
+    texts += [r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect() if r.text]
+    found = 0
+    for t in texts:
+        base = secret_scan.base_spans(t)
+        assert test.spans(t, base) == brute_random(test, t, base)
+        found += len(test.spans(t, base))
+    assert found > 50
+
+
+#: Share reported, at most: of words of documents and identifiers of loaded modules, and of three identifiers put together.
+FALSE, FALSE_JOINED = 0.002, 0.03
+
+
+def test_precision_on_words_and_identifiers(spark, sf_small):
+    test = secret_scan.Efficiency(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    docs = spark.read.parquet(f"{sf_small.replace('0.001', '0.01')}/documents.parquet").where("text is not null").collect()
+    runs = [m[0] for r in docs for m in secret_scan.RUN.finditer(r.text) if not secret_scan.base_spans(m[0])]
+    names = {n for m in list(sys.modules.values()) for n in dir(m)}
+    draw = random.Random(2)
+    parts = sorted(n for n in names if n.isidentifier() and n.isascii() and len(n) > 3 and not n.startswith("_"))
+    made = ["_".join(draw.sample(parts, 3)) for _ in range(4000)] + ["".join(p.title() for p in draw.sample(parts, 3)) for _ in range(4000)]
+    for some, most, least_n in (([*runs, *parts], FALSE, 500), (made, FALSE_JOINED, 5000)):
+        words = [n for n in some if len(n) >= 20]
+        assert len(words) > least_n
+        assert sum(map(test.is_random, words)) <= most * len(words)
+
+
 def test_redaction(spark):
     r = secret_scan.scan(frame(spark, SECRETS), redact=True).orderBy("doc_id").collect()
     assert r[0].redacted is None and r[1].redacted == "" and r[8].redacted == "key <secret> here"
