@@ -2,11 +2,12 @@
 
 Rows of equal text form a group that stays in one shard. Groups are taken by size, largest first;
 each enters the bin with the tightest remaining capacity that still holds it (lowest bin at a tie),
-found in a balanced tree over (remaining, bin). Equal sizes are interchangeable, so the packing runs
-on the histogram of group sizes, a run of equal groups at a time: the tightest bin stays the tightest
-while it is being filled. The histogram has at most sqrt(2 * total bytes) rows, since that many
-distinct sizes already add up to the total, so it is what the driver may hold; groups and rows never
-leave the executors.
+found in a balanced tree over (remaining, bin). Once a bin is the tightest it stays so while it is
+filled, until a group no longer fits or sizes have come down to what a fuller bin has left. So the packing
+goes by stretches of groups in place of single groups: the end of a stretch is a binary search in running sums over the
+histogram of group sizes, and a plan is as long as the number of stretches, a few for each bin. The
+histogram has at most sqrt(2 * total bytes) rows, since that many distinct sizes already add up to the total; it comes
+to the driver as two arrays of numbers, while groups and rows never leave the executors.
 
 `pack` minimises shards of a fixed capacity. `pack_into` searches the smallest capacity with which
 best-fit-decreasing needs at most n shards. A group larger than an even share can't be cut: it gets a
@@ -19,8 +20,10 @@ null ids are kept, each with a slot of its own. An empty table gives an empty ta
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +32,7 @@ from .common import written
 
 #: Rank buckets within a size, and slot buckets within a shard; more where rows would exceed ROWS_A_BUCKET.
 RANK_BUCKETS, SLOT_BUCKETS, ROWS_A_BUCKET = 1024, 256, 500_000
-#: Plans over so many rows are joined by shuffle, not broadcast (under 40 MB at that size).
+#: Plans over so many cut sizes are joined by shuffle, not broadcast (under 40 MB at that size).
 BROADCAST_ROWS = 500_000
 
 
@@ -115,61 +118,119 @@ class Tree:
                 best, t = t[0], t[2]
         return best
 
+    def greatest_below(self, key):
+        """The greatest key below `key`, or None."""
+        t, best = self.root, None
+        while t:
+            if t[0] < key:
+                best, t = t[0], t[3]
+            else:
+                t = t[2]
+        return best
+
+
+class Histogram:
+    """Distinct group sizes, largest first, the number of groups of each, and running sums of their bytes."""
+
+    def __init__(self, sizes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(-np.asarray(sizes, np.int64), kind="stable")
+        self.sizes, self.counts = np.asarray(sizes, np.int64)[order], np.asarray(counts, np.int64)[order]
+        self.sums = np.concatenate([[0], np.cumsum(self.sizes * self.counts)])
+
+    @classmethod
+    def of(cls, pairs: Iterable[tuple[int, int]]) -> Histogram:
+        pairs = list(pairs)
+        return cls(np.array([s for s, _ in pairs], np.int64), np.array([n for _, n in pairs], np.int64))
+
+    def __len__(self) -> int:
+        return len(self.sizes)
+
+    def after(self, size: int) -> int:
+        """Index of the first size of `size` or less."""
+        return int(np.searchsorted(-self.sizes, -size, "left"))
 
-def best_fit(histogram: list[tuple[int, int]], capacity: int, bins: int | None = None) -> list[tuple[int, int, int, int]] | None:
-    """Runs (size, first rank, end rank, bin) of best-fit-decreasing; None if over `bins` bins are needed.
 
-    histogram: (size, number of groups), any order, sizes positive and at most the capacity.
+#: A stretch of groups in one bin: from rank `first` of size index `at` up to, not including, rank `end` of size index `to`.
+Stretch = tuple[int, int, int, int, int]  # at, first, to, end, bin
+
+
+def best_fit(h: Histogram, capacity: int, bins: int | None = None, start: tuple[int, int] = (0, 0)) -> list[Stretch] | None:
+    """Best-fit-decreasing of the groups from `start` (size index, rank) on; None if over `bins` bins are needed.
+
+    Sizes are positive and at most the capacity.
     """
-    tree, runs, used = Tree(), [], 0
-    for size, count in sorted(histogram, reverse=True):
-        rank = 0
-        while rank < count:
-            found = tree.least_from((size, -1))
-            if found is None:
-                if used == bins:
-                    return None
-                found, used = (capacity, used), used + 1
-            else:
-                tree.remove(found)
-            remaining, at = found
-            n = min(count - rank, remaining // size)
-            runs.append((size, rank, rank + n, at))
-            rank += n
-            if remaining > n * size:
-                tree.add((remaining - n * size, at))
-    return runs
-
-
-def plan_into(histogram: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int]]:
-    """Runs over exactly `shards` bins with the least capacity that best-fit-decreasing manages."""
-    left = sorted(histogram, reverse=True)
-    runs: list[tuple[int, int, int, int]] = []
-    total, at = sum(s * n for s, n in left), 0
-    while left and at < shards - 1 and left[0][0] * (shards - at) > total:  # over an even share of the rest
-        size, n = left[0]
-        taken = next((k for k, (a, b, c, d) in enumerate(runs) if a == size), None)
-        start = 0 if taken is None else max(c for a, b, c, d in runs if a == size)
-        runs.append((size, start, start + 1, at))
-        total, at = total - size, at + 1
-        left = [(size, n - 1), *left[1:]] if n > 1 else left[1:]
-    if not left:
-        return runs
-    begin = {s: max((c for a, b, c, d in runs if a == s), default=0) for s, _ in left[:1]}
-    low = max(-(-total // (shards - at)), left[0][0])
-    high, best = low, None
-    step = 1
+    tree, out, used = Tree(), [], 0
+    i, rank = start
+    while i < len(h):
+        size = int(h.sizes[i])
+        found = tree.least_from((size, -1))
+        if found is None:
+            if used == bins:
+                return None
+            found, used = (capacity, used), used + 1
+        else:
+            tree.remove(found)
+        left, at = found
+        fuller = tree.greatest_below((size, -1))
+        stop = len(h) if fuller is None else h.after(fuller[0])  # from here on a fuller bin is tighter
+        begin = (i, rank)
+        n = min(int(h.counts[i]) - rank, left // size)
+        left, rank = left - n * size, rank + n
+        if rank == h.counts[i]:
+            i, rank = i + 1, 0
+            if i < stop:
+                to = min(stop, int(np.searchsorted(h.sums, h.sums[i] + left, "right")) - 1)
+                left, i = left - int(h.sums[to] - h.sums[i]), to
+                if i < stop:
+                    rank = left // int(h.sizes[i])
+                    left -= rank * int(h.sizes[i])
+        out.append((*begin, i, rank, at))
+        if left:
+            tree.add((left, at))
+    return out
+
+
+def plan_into(h: Histogram, shards: int) -> list[Stretch]:
+    """Stretches over at most `shards` bins with the least capacity that best-fit-decreasing manages."""
+    out: list[Stretch] = []
+    total, at, i, rank = int(h.sums[-1]), 0, 0, 0
+    while i < len(h) and at < shards - 1 and int(h.sizes[i]) * (shards - at) > total:  # over an even share of the rest
+        begin, total = (i, rank), total - int(h.sizes[i])
+        i, rank = (i, rank + 1) if rank + 1 < h.counts[i] else (i + 1, 0)
+        out.append((*begin, i, rank, at))
+        at += 1
+    if i == len(h):
+        return out
+    low = max(-(-total // (shards - at)), int(h.sizes[i]))
+    high, best, step = low, None, 1
     while best is None:
-        best = best_fit(left, high, shards - at)
+        best = best_fit(h, high, shards - at, (i, rank))
         if best is None:
             low, high, step = high + 1, high + step, step * 2
     while low < high:
         mid = (low + high) // 2
-        if (found := best_fit(left, mid, shards - at)) is None:
+        if (found := best_fit(h, mid, shards - at, (i, rank))) is None:
             low = mid + 1
         else:
             high, best = mid, found
-    return runs + [(s, a + begin.get(s, 0), b + begin.get(s, 0), at + k) for s, a, b, k in best]
+    return out + [(*stretch, at + k) for *stretch, k in best]
+
+
+def parts_of(h: Histogram, plan: list[Stretch]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
+    """A plan as (largest size, least size, bin) of sizes that lie whole in a bin, and (size, first rank, end rank, bin) of those that don't."""
+    whole, cut = [], []
+    for at, first, to, end, k in plan:
+        if at == to:
+            cut.append((int(h.sizes[at]), first, end, k))
+            continue
+        if first:
+            cut.append((int(h.sizes[at]), first, int(h.counts[at]), k))
+            at += 1
+        if at < to:
+            whole.append((int(h.sizes[at]), int(h.sizes[to - 1]), k))
+        if end:
+            cut.append((int(h.sizes[to]), 0, end, k))
+    return whole, cut
 
 
 def measured(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -187,23 +248,38 @@ def _ranked(df: DataFrame, by: str, bucket: Column, order: Iterable[str], out: s
     return local.join(before, [by, "_b"]).withColumn(out, (F.col("_before") + F.col("_r")).cast("long")).drop("_b", "_r", "_before")
 
 
-def assign(df: DataFrame, plan, id_col: str = "doc_id", text_col: str = "text", law: str = "bytes") -> DataFrame:
-    """Per row: id_col, size, text_crc32, law, shard, slot, grown_shard. plan: histogram -> runs."""
+def placed_whole(groups: DataFrame, whole: list[tuple[int, int, int]]) -> DataFrame:
+    """key, shard of the groups whose size lies whole in a shard."""
+    whole = sorted(whole)
+    shared = groups.sparkSession.sparkContext.broadcast(tuple(np.array(c, np.int64) for c in zip(*whole, strict=True)) if whole else (np.empty(0, np.int64),) * 3)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, low, shard = shared.value
+        for batch in batches:
+            size = batch.column(1).to_numpy()
+            at = np.searchsorted(top, size, "left")
+            inside = at < len(top)
+            inside[inside] = low[at[inside]] <= size[inside]
+            yield pa.record_batch([batch.column(0).filter(pa.array(inside)), pa.array(shard[at[inside]].astype(np.int32))], names=["key", "shard"])
+
+    return groups.select("key", "group_size").mapInArrow(run, "key string, shard int")
+
+
+def assign(df: DataFrame, plan: Callable[[Histogram], list[Stretch]], id_col: str = "doc_id", text_col: str = "text", law: str = "bytes") -> DataFrame:
+    """Per row: id_col, size, text_crc32, law, shard, slot, grown_shard."""
     spark = df.sparkSession
     rows = written(measured(df, id_col, text_col), "shard-rows")
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("group_size")), "shard-groups")
-    histogram = [(r.group_size, r["n"]) for r in groups.groupBy("group_size").agg(F.count("*").alias("n")).collect()]
-    runs = plan(histogram)
-    split = {s for s, a, b, k in runs if a > 0}
-    plan_df = spark.createDataFrame([(*r, r[0] in split) for r in runs], "group_size long, first long, end long, shard int, is_split boolean")
-    plan_df = F.broadcast(plan_df) if len(runs) <= BROADCAST_ROWS else plan_df
-    n_groups = sum(n for _, n in histogram)
-    whole = groups.join(plan_df.where("not is_split"), "group_size").select("key", "shard")
-    torn = groups.join(plan_df.where("is_split").select("group_size").distinct(), "group_size", "left_semi")
-    bucket = F.pmod(F.xxhash64("key"), F.lit(max(RANK_BUCKETS, n_groups // ROWS_A_BUCKET))).cast("int")
+    found = groups.groupBy("group_size").agg(F.count("*").alias("n")).toArrow()
+    histogram = Histogram(found["group_size"].to_numpy(), found["n"].to_numpy())
+    whole, cut = parts_of(histogram, plan(histogram))
+    plan_df = spark.createDataFrame(cut, "group_size long, first long, end long, shard int")
+    plan_df = F.broadcast(plan_df) if len(cut) <= BROADCAST_ROWS else plan_df
+    torn = groups.join(plan_df.select("group_size").distinct(), "group_size", "left_semi")
+    bucket = F.pmod(F.xxhash64("key"), F.lit(max(RANK_BUCKETS, int(histogram.counts.sum()) // ROWS_A_BUCKET))).cast("int")
     ranked = _ranked(torn, "group_size", bucket, ["key"], "rank")
-    torn = ranked.join(plan_df.where("is_split"), "group_size").where("rank >= first and rank < end").select("key", "shard")
-    placed = written(rows.join(whole.unionByName(torn), "key").select("id", "size", "text_crc32", "shard"), f"shard-placed-{uuid.uuid4().hex[:4]}")
+    torn = ranked.join(plan_df, "group_size").where("rank >= first and rank < end").select("key", "shard")
+    placed = written(rows.join(placed_whole(groups, whole).unionByName(torn), "key").select("id", "size", "text_crc32", "shard"), f"shard-placed-{uuid.uuid4().hex[:4]}")
     n_rows = placed.count()
     bucket = F.pmod(F.xxhash64("id", "text_crc32"), F.lit(max(SLOT_BUCKETS, n_rows // ROWS_A_BUCKET))).cast("int")
     slotted = _ranked(placed, "shard", bucket, ["id", "text_crc32", "size"], "slot")
@@ -217,13 +293,14 @@ def pack_into(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
 def pack(df: DataFrame, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shards of a fixed capacity, as few as best-fit-decreasing needs; a group over the capacity fills a shard alone."""
 
-    def plan(histogram):
-        big = sorted(((s, n) for s, n in histogram if s > capacity), reverse=True)
-        runs = best_fit([(s, n) for s, n in histogram if s <= capacity], capacity) or []
-        at = max((k for *_, k in runs), default=-1) + 1
-        for s, n in big:
-            runs += [(s, r, r + 1, at + r) for r in range(n)]
+    def plan(h: Histogram) -> list[Stretch]:
+        first = h.after(capacity)  # sizes before it are over the capacity
+        out = best_fit(h, capacity, None, (first, 0))
+        at = max((k for *_, k in out), default=-1) + 1
+        for i in range(first):
+            n = int(h.counts[i])
+            out += [(i, r, *((i, r + 1) if r + 1 < n else (i + 1, 0)), at + r) for r in range(n)]
             at += n
-        return runs
+        return out
 
     return assign(df, plan, id_col, text_col)

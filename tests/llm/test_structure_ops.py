@@ -1,6 +1,8 @@
 import hashlib
 import random
 import re
+import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -142,6 +144,24 @@ def test_fixed_capacity(spark):
     assert len(over) == 2
 
 
+def pieces(h, plan):
+    """(size, first rank, end rank, bin) of every size of a plan, by way of its whole and cut parts."""
+    whole, cut = shards.parts_of(h, plan)
+    return cut + [(int(s), 0, int(n), k) for top, low, k in whole for s, n in zip(h.sizes, h.counts, strict=True) if low <= s <= top]
+
+
+def test_a_plan_of_five_million_sizes_takes_seconds():
+    draw = np.random.default_rng(1)
+    h = shards.Histogram(np.arange(8, 5_000_008), draw.integers(1, 4, 5_000_000))
+    began = time.perf_counter()
+    plan = shards.plan_into(h, 24)
+    assert time.perf_counter() - began < 60 and len(plan) < 10_000
+    load = np.zeros(24, np.int64)
+    for at, first, to, end, k in plan:
+        load[k] += h.sums[to] - h.sums[at] - first * h.sizes[at] + (end * h.sizes[to] if end else 0)
+    assert load.sum() == h.sums[-1] and load.max() - load.min() < 10_000
+
+
 def plain_best_fit(sizes, capacity):
     bins = []
     for s in sorted(sizes, reverse=True):
@@ -161,7 +181,7 @@ def test_run_packing_is_best_fit_decreasing():
         for s in sizes:
             histogram[s] += 1
         load = defaultdict(int)
-        for s, a, b, k in shards.best_fit(list(histogram.items()), capacity):
+        for s, a, b, k in pieces(h := shards.Histogram.of(histogram.items()), shards.best_fit(h, capacity)):
             load[k] += s * (b - a)
         assert [load[k] for k in range(len(load))] == plain_best_fit(sizes, capacity)
 
@@ -178,6 +198,7 @@ def test_tree():
             keys.add(k)
         q = (rng.randrange(52), -1)
         assert tree.least_from(q) == min((x for x in keys if x >= q), default=None)
+        assert tree.greatest_below(q) == max((x for x in keys if x < q), default=None)
 
 
 @pytest.mark.parametrize("compression", [1, 5, 8, 32773, 32946])
@@ -195,10 +216,12 @@ def test_tiff_round_trip(compression, predictor, tile):
 
 def test_lzw_long_and_packbits():
     for data in (b"", b"a", bytes(70000), rng.randbytes(70000), b"abc" * 30000):
-        assert tiff.unlzw(tiff.lzw(data)) == data
-        assert tiff.unpack_bits(tiff.pack_bits(data)) == data
+        assert tiff.unlzw(tiff.lzw(data), len(data) + 9) == data
+        assert tiff.unpack_bits(tiff.pack_bits(data), len(data) + 9) == data
+        for n in (0, 1, len(data) // 2):
+            assert tiff.unlzw(tiff.lzw(data), n) == data[:n] == tiff.unpack_bits(tiff.pack_bits(data), n)
     # a published example of PackBits
-    assert tiff.unpack_bits(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    assert tiff.unpack_bits(bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA"), 99) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
 
 
 def test_tiff_errors():
@@ -210,6 +233,62 @@ def test_tiff_errors():
     assert list(tiff.pages(None)) == []
 
 
+def test_mutated_tiff_files_raise_one_error(spark, monkeypatch):
+    monkeypatch.setattr(tiff, "MAX_PAGE_BYTES", 1 << 24)
+    draw = random.Random(3)
+    whole = [tiff.write((prose(draw.randrange(1, 80)) * 3).encode().ljust(4096, b"\0")[:4096], *scheme, page_rows=32, strip_rows=9, order=draw.choice("<>")) for scheme in tiff.SCHEMES]
+    outcome = {"read": 0, "error": 0}
+    bad = []
+    for k in range(3000):
+        media = bytearray(draw.choice(whole))
+        for _ in range(draw.randrange(1, 5)):
+            media[draw.randrange(len(media)) if draw.random() < 0.5 else max(0, len(media) - draw.randrange(1, 400))] = draw.randrange(256)
+        media = bytes(media[: draw.randrange(len(media))] if draw.random() < 0.2 else media)
+        try:
+            list(tiff.pages(media))
+            outcome["read"] += 1
+        except ValueError:
+            outcome["error"] += 1
+            if k % 100 == 0:
+                bad.append(media)
+    assert outcome["error"] > 500 and outcome["read"] > 100
+    rows = [(0, whole[0]), (None, None), *((k + 1, m) for k, m in enumerate([*bad, b"", b"II*\0", b"no"])), (999, whole[1])]
+    got = tiff.explode_pages(spark.createDataFrame(rows, "doc_id long, media binary").repartition(2)).collect()
+    assert {r.doc_id for r in got if r.error} == set(range(1, len(rows) - 2)) and all(r.samples is None and r.width is None for r in got if r.error)
+    assert {r.doc_id: sum(x.doc_id == r.doc_id for x in got) for r in got if r.doc_id in (0, 999)} == {0: 2, 999: 2}
+
+
+def test_tiff_sizes_that_data_cannot_fill():
+    media = bytearray(tiff.write(bytes(64 * 32)))
+    for tag in (256, 257):
+        huge = bytearray(media)
+        at = huge.index(struct.pack("<HHI", tag, 4, 1)) + 8
+        huge[at : at + 4] = struct.pack("<I", 0xFFFFFFFF)
+        with pytest.raises(ValueError):
+            list(tiff.pages(bytes(huge)))
+
+
+def test_tiff_of_few_bits():
+    for bits in (1, 2, 4):
+        values = np.array([[rng.randrange(1 << bits) for _ in range(13)] for _ in range(5)], np.uint8)
+        fine = np.unpackbits(values[..., None], axis=2)[..., 8 - bits :].reshape(5, -1)
+        data = tiff.pack_bits(np.packbits(fine, axis=1).tobytes())
+        tags = [(256, 13), (257, 5), (258, bits), (259, tiff.PACKBITS), (273, 8), (277, 1), (278, 5), (279, len(data))]
+        at = 8 + len(data) + len(data) % 2
+        media = b"II" + struct.pack("<HI", 42, at) + data.ljust(at - 8, b"\0") + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", t, 4, 1, v) for t, v in tags) + bytes(4)
+        (page,) = tiff.pages(media)
+        assert page["samples"] == values.tobytes() and page["bits"] == bits
+
+
+def test_every_tiff_scheme_is_in_use(spark, sf_small):
+    df = spark.read.parquet(f"{sf_small.replace('0.001', '0.01')}/documents.parquet")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    got = tiff.media_digest(tiff.text_to_tiff(df)).collect()
+    stored = {r.feature.rsplit("stored=")[1] for r in got}
+    assert stored == {f"{how}/{p}/{layout}" for how in ("deflate", "lzw", "packbits", "none") for p in (1, 2) for layout in ("strips", "tiles")}
+    assert len(got) == len(texts) and all(r.payload_sha256 == hashlib.sha256(tiff.payload_of(texts[r.doc_id])[0]).hexdigest() for r in got)
+
+
 def test_tiff_digest(spark):
     texts = [None, "", "a", "é" * 32, "x" * 64, "x" * 65, prose(60000), "é" * 32]
     got = {r.doc_id: r for r in tiff.media_digest(tiff.text_to_tiff(frame(spark, texts))).collect()}
@@ -285,7 +364,7 @@ def test_plans_cover_every_group_once():
         for _ in range(rng.randrange(1, 40)):
             histogram[rng.choice([1, 2, 3, 5, 50, 51, 400])] += rng.randrange(1, 4)
         k = rng.randrange(1, 9)
-        runs = shards.plan_into(list(histogram.items()), k)
+        runs = pieces(h := shards.Histogram.of(histogram.items()), shards.plan_into(h, k))
         seen = defaultdict(list)
         for size, a, b, at in runs:
             assert 0 <= at < k and a < b
