@@ -11,8 +11,11 @@ the largest hash in its items' sketches; the document's sketch for that partitio
 and a document with fewer hashes than the partition's least item needs is not searched. Items met by one sketch hash at
 least are verified by exact containment over shingle strings.
 
-Documents stay where they are: one narrow map stage for each block of items. Items go to the tasks as broadcast blocks of at
-most `BLOCK_BYTES` of text and `BLOCK_ITEMS` items; a larger benchmark means more passes, not a larger broadcast.
+A benchmark of at most `BLOCK_BYTES` of text and `BLOCK_ITEMS` items goes to the tasks whole, and documents stay where they are: one
+narrow map stage. A larger one is never broadcast. Its sketches are a table of (hash, item); documents give the hashes of their own
+sketches that a bitmap of fixed size (`BITMAP_BITS`) lets through, once a distinct text; an equi-join on the hash finds the candidates, and
+only candidates' texts are joined with the items' texts for the verification. Documents are read the same few times whatever
+the benchmark's size. Documents are keyed by the MD5 of their text there, so copies are searched and verified once.
 
 Cases: null or empty texts, or texts without a word, match nothing. Repeated rows and repeated items each give
 their own pairs. Empty tables give no pairs.
@@ -29,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BLOCK_BYTES, BLOCK_ITEMS = 8 << 20, 20_000
+#: Bits of the bitmap of sketch hashes (16 MB), by leading bits of a hash.
+BITMAP_BITS = 27
 CHUNK = 4 << 20
 
 _WORD = re.compile(r"\w+")
@@ -198,17 +203,111 @@ class Index:
         yield np.concatenate(parts)
 
 
-def blocks(items: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
-    """Items in blocks of bounded size, from a streamed read: never more than a block and a partition on the driver."""
-    held, size = [], 0
-    for r in items.select(item_col, text_col).where(F.col(text_col).isNotNull()).toLocalIterator():
-        held.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= BLOCK_BYTES or len(held) >= BLOCK_ITEMS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def one_block(items: DataFrame, item_col: str, text_col: str) -> list[tuple[object, str]] | None:
+    """The items with a text if they fit in one block, else None: no more than a block comes to the driver."""
+    items = items.select(item_col, text_col).where(F.col(text_col).isNotNull())
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    if n > BLOCK_ITEMS or size > BLOCK_BYTES:
+        return None
+    return [(r[0], r[1]) for r in items.collect()]
+
+
+def sketch_of(words: np.ndarray, shingle: int, threshold: float) -> tuple[int, np.ndarray, int]:
+    """(shingle length, the sketch: least hashes, number of distinct hashes) of an item's word hashes."""
+    width = min(shingle, len(words))
+    h = np.unique(shingle_hashes(words, width)) if width else np.empty(0, np.uint64)
+    return width, h[: int(np.floor((1 - threshold) * len(h) + 1e-9)) + 1], len(h)
+
+
+def joined(docs: DataFrame, items: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """key, item, n_shingles, n_found of the pairs at the threshold. docs: (key, text), no null text; items: (item, text), item a row number."""
+    spark = docs.sparkSession
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            rows = [(i, *sketch_of(word_hashes(t), shingle, threshold)) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+            n = [len(r[2]) for r in rows]
+            hashes = np.concatenate([r[2] for r in rows]) if rows else np.empty(0, np.uint64)
+            columns = [np.repeat(np.array([r[k] for r in rows], np.int64), n) for k in (0, 1)]
+            classes = np.repeat(np.array([r[3].bit_length() for r in rows], np.int64), n)
+            needs = np.repeat(np.array([int(np.ceil(threshold * r[3] - 1e-9)) for r in rows], np.int64), n)
+            yield pa.record_batch([*map(pa.array, (*columns, classes, needs)), pa.array(hashes.view(np.int64))], names=["item", "width", "class", "needs", "hash"])
+
+    sketch = written(items.mapInArrow(sketches, "item long, width long, class long, needs long, hash long"), "sketches")
+    # the order of unsigned hashes is that of signed ones with the top bit turned
+    top = F.expr("hash ^ (-9223372036854775807L - 1L)")
+    bounds = [(r.width, r.needs, (r.bound + (1 << 63)) & _MASK) for r in sketch.groupBy("width", "class").agg(F.min("needs").alias("needs"), F.max(top).alias("bound")).collect()]
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: list[np.ndarray] = []
+        for batch in batches:
+            at.append(np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)))
+            if len(at) > 50:
+                at = [np.unique(np.concatenate(at))]
+        if at:
+            yield pa.record_batch([pa.array(np.unique(np.concatenate(at)).astype(np.int32))], names=["at"])
+
+    # 64 bits of the bitmap make a word: at most 2 million rows of 16 bytes, whatever the benchmark's size
+    words = sketch.select("hash").mapInArrow(marked, "at int").select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, at & 63)").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    bitmap[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast((bounds, bitmap))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds, bitmap = shared.value
+        widths = sorted({w for w, _, _ in bounds})
+        for part in slices(batches, "text"):
+            at, out = [], []
+            for i, t in enumerate(part.column(1).to_pylist()):
+                words = next(Index.pieces(t))
+                found = []
+                for width in widths:
+                    h = shingle_hashes(words, width)
+                    limit = max((b for w, needs, b in bounds if w == width and needs <= len(h)), default=None)
+                    if limit is None:
+                        continue
+                    h = h[h <= np.uint64(limit)]
+                    lead = h >> np.uint64(64 - BITMAP_BITS)
+                    found.append(h[(bitmap[(lead >> np.uint64(6)).astype(np.int64)] >> (lead & np.uint64(63))) & np.uint64(1) == 1])
+                h = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+                at.append(np.full(len(h), i, np.int64))
+                out.append(h)
+            yield pa.record_batch([part.column(0).take(pa.array(np.concatenate(at))), pa.array(np.concatenate(out).view(np.int64))], names=["key", "hash"])
+
+    hits = docs.mapInArrow(search, "key string, hash long").distinct()
+    candidates = written(hits.join(sketch.select("hash", "item"), "hash").select("key", "item").distinct(), "candidates")
+    texts = docs.join(candidates.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    pairs = candidates.join(items.withColumnRenamed("text", "item_text"), "item").join(texts, "key").select("key", "item", "item_text", "text")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, words, have = None, [], {}
+        for part in slices(batches, "text"):
+            out = []
+            for key, item, item_text, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if key != last:
+                    last, words, have = key, _WORD.findall(text.lower()), {}
+                own = _WORD.findall(item_text.lower())
+                width = min(shingle, len(own))
+                if width not in have:
+                    have[width] = shingle_strings(words, width)
+                want = shingle_strings(own, width)
+                n = len(want & have[width])
+                if n >= threshold * len(want) - 1e-9:
+                    out.append((key, item, len(want), n))
+            if out:
+                yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], names=["key", "item", "n_shingles", "n_found"])
+
+    return written(pairs.sortWithinPartitions("key", "item").mapInArrow(verify, "key string, item long, n_shingles long, n_found long"), "contained")
+
+
+def numbered(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """item (a row number), item_id, text of the items with a word."""
+    rows = items.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).where(F.col(text_col).isNotNull())
+    return written(rows.withColumn("item", F.monotonically_increasing_id()), "items")
+
+
+def text_key(text_col: str):
+    return F.md5(F.col(text_col).cast("binary"))
 
 
 def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -217,50 +316,53 @@ def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     src = df.select(F.col(id_col), F.col(text_col))
     kinds = src.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     schema = f"{id_col} {kinds[0]}, {item_col} {kinds[1]}, n_shingles long, n_found long, containment double"
-
-    def over(block):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, shingle, threshold)
-            for part in slices(batches, text_col):
-                at, hits = [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
-                    for hit in index.search(t) if t else ():
-                        at.append(i)
-                        hits.append(hit)
-                if at:
-                    sizes = [len(index.items[i][2]) for i, _ in hits]
-                    item_ids = pa.array([index.items[i][0] for i, _ in hits])
-                    yield pa.record_batch(
-                        [part.column(0).take(pa.array(at)), item_ids, pa.array(sizes, pa.int64()), pa.array([n for _, n in hits], pa.int64()), pa.array([n / s for (_, n), s in zip(hits, sizes, strict=True)], pa.float64())],
-                        names=[id_col, item_col, "n_shingles", "n_found", "containment"],
-                    )
-
-        return src.mapInArrow(run, schema)
-
-    out = None
-    for block in blocks(items, item_col, item_text_col):
-        found = over(block)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    block = one_block(items, item_col, item_text_col)
+    if block is None:
+        rows = numbered(items, item_col, item_text_col)
+        docs = src.select(F.col(id_col).alias("id"), text_key(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
+        found = joined(docs.select("key", "text"), rows.select("item", "text"), shingle, threshold).join(rows.select("item", "item_id"), "item")
+        share = (F.col("n_found").cast("double") / F.col("n_shingles")).alias("containment")
+        return docs.select("id", "key").join(found, "key").select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), "n_shingles", "n_found", share)
+    shared = spark.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value, shingle, threshold)
+        for part in slices(batches, text_col):
+            at, hits = [], []
+            for i, t in enumerate(part.column(1).to_pylist()):
+                for hit in index.search(t) if t else ():
+                    at.append(i)
+                    hits.append(hit)
+            if at:
+                sizes = [len(index.items[i][2]) for i, _ in hits]
+                item_ids = pa.array([index.items[i][0] for i, _ in hits])
+                yield pa.record_batch(
+                    [part.column(0).take(pa.array(at)), item_ids, pa.array(sizes, pa.int64()), pa.array([n for _, n in hits], pa.int64()), pa.array([n / s for (_, n), s in zip(hits, sizes, strict=True)], pa.float64())],
+                    names=[id_col, item_col, "n_shingles", "n_found", "containment"],
+                )
+
+    return src.mapInArrow(run, schema)
 
 
 def clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows, with all their columns, that contain no item."""
+    """The rows, with all their columns, that contain no item.
+
+    Rows whose text is null, empty or without a word stay, as do all rows where no item has a word; repeated rows stay or go together;
+    empty in, empty out.
+    """
     spark = df.sparkSession
     at_text = df.columns.index(text_col)
-
-    def without(df, block):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, shingle, threshold)
-            for part in slices(batches, text_col):
-                yield part.filter(pa.array([not (t and index.search(t)) for t in part.column(at_text).to_pylist()], pa.bool_()))
-
-        return df.mapInArrow(run, df.schema)
-
-    for block in blocks(items, item_col, item_text_col):
-        df = without(df, block)
-    return df
+    block = one_block(items, item_col, item_text_col)
+    if block is None:
+        docs = df.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
+        found = joined(docs, numbered(items, item_col, item_text_col).select("item", "text"), shingle, threshold)
+        found = found.select(F.col("key").alias("_placeloom_key")).distinct()
+        return df.join(found, text_key(text_col) == F.col("_placeloom_key"), "left_anti")
+    shared = spark.sparkContext.broadcast(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value, shingle, threshold)
+        for part in slices(batches, text_col):
+            yield part.filter(pa.array([not (t and index.search(t)) for t in part.column(at_text).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
