@@ -1,7 +1,7 @@
 """Language identification with interpolated Kneser-Ney character language models (operator 5).
 
-Learning takes labelled rows outside the held-out fifth, at most about `ROWS_A_LANGUAGE` a language (a documented,
-unbiased bound: rows are kept by a hash of their id). A text is its letters in lower case with one space for
+Learning takes labelled rows outside the held-out fifth, at most about `ROWS_A_LANGUAGE` rows and `CHARS_A_LANGUAGE` characters a language (documented,
+unbiased bounds: rows are kept whole by a hash of their id). A text is its letters in lower case with one space for
 whatever lies between. Counts of `ORDER`-grams a language are made on the executors; the models are estimated
 on the driver, whose share is bounded by that sample: absolute discounts n1 / (n1 + 2 n2) per order, continuation counts in the lower
 orders, a uniform floor below the unigrams.
@@ -14,7 +14,7 @@ Prediction: the language with the least cross-entropy a character. Rejection is
 not estimated from: a text is rejected if its cross-entropy lies above the midpoint between its language's own texts and
 random letters (and above the own texts' mean and six deviations), with an allowance for short texts.
 
-Cases: null text, or text without a letter: `und`, score 0, rejected. No labelled row at all: every row is `und`, and only texts without a letter are rejected. Null ids count
+Cases: null text, or text without a letter (marks alone are none): `und`, score 0, rejected. No labelled row at all: every row is `und`, and only texts without a letter are rejected. Null ids count
 as held out. Repeated rows repeat; empty in, empty out. Equal cross-entropies go to the first language by name.
 """
 
@@ -35,7 +35,7 @@ from .common import slices, written
 from .decontam import mix
 
 ORDER = 5
-ROWS_A_LANGUAGE = 600
+ROWS_A_LANGUAGE, CHARS_A_LANGUAGE = 600, 8_000_000
 CHAR_BITS = 12  # ids of characters; rarer ones share the id UNKNOWN
 SPACE, START, UNKNOWN, FIRST = 0, 1, 2, 3
 #: Characters whose evidence is counted in full by the score.
@@ -55,6 +55,12 @@ def letters() -> np.ndarray:
     return out
 
 
+@cache
+def true_letters() -> np.ndarray:
+    """Whether each code point is a letter, not a mark."""
+    return np.fromiter((unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)), bool, 0x110000)
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
@@ -203,11 +209,14 @@ def estimate(counts: dict[str, dict[str, int]], order: int = ORDER) -> Models:
 
 class Scorer:
     def __init__(self, models: Models):
-        self.m, self.ids = models, models.ids()
+        self.m, self.ids, self.letter = models, models.ids(), true_letters()
 
     def chars(self, text: str) -> np.ndarray:
-        """Character ids of a text's letters and single spaces."""
-        ids = self.ids[code_points(text)]
+        """Character ids of a text's letters (with their marks) and single spaces; none where there are marks alone."""
+        points = code_points(text)
+        if not (self.letter[points[:64]].any() or self.letter[points[64:]].any()):
+            return self.ids[:0]
+        ids = self.ids[points]
         keep = ids != SPACE
         keep[1:] |= keep[:-1]
         ids = ids[keep]
@@ -281,14 +290,16 @@ def is_held_out(id_col: str):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, rows_a_language: int = ROWS_A_LANGUAGE) -> Models:
-    """Models from labelled rows that aren't held out."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, rows_a_language: int = ROWS_A_LANGUAGE, chars_a_language: int = CHARS_A_LANGUAGE) -> Models:
+    """Models from labelled rows that aren't held out: of each language a sample of about rows_a_language rows, or fewer where
+    rows are so long that the sample would hold over chars_a_language characters."""
     labelled = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("id"))
-    sizes = {r.lang: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    sizes = {r.lang: min(1.0, rows_a_language / r["n"], chars_a_language / max(r.chars, 1)) for r in found}
     if not sizes:
         return Models([], order, {}, np.zeros((FIRST, 0)), {}, {}, np.zeros(0), np.zeros(0))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("double") / (1 << 30)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, rows_a_language / n))])[F.col("lang")]
+    share = F.create_map(*[F.lit(x) for lang, part in sizes.items() for x in (lang, part)])[F.col("lang")]
     sample = written(labelled.where(draw < share).select("text", "lang", (F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(5)) == 0).alias("calibrate")), "langid-sample")
     if sample.isEmpty():
         sample = written(labelled.select("text", "lang", F.lit(False).alias("calibrate")), "langid-sample")
@@ -303,8 +314,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
 
     def counted(rows: DataFrame) -> dict[str, dict[str, int]]:
         out: dict[str, dict[str, int]] = {}
-        for r in rows.select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
-            out.setdefault(r.lang, {})[r.gram] = r["n"]
+        grouped = rows.select("text", "lang").mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+        for lang, gram, n in zip(*(c.to_pylist() for c in grouped.columns), strict=True):
+            out.setdefault(lang, {})[gram] = n
         return out
 
     counts = counted(sample.where(~F.col("calibrate")))
@@ -357,7 +369,11 @@ def is_rejected(models: Models, entropy: np.ndarray, size: np.ndarray) -> tuple[
 
 
 def accepted(df: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose language isn't rejected."""
+    """The rows, with all their columns, whose language isn't rejected.
+
+    Null, empty and letterless texts go, as they have no language. Repeated rows stay or go together; equal cross-entropies don't
+    matter here, as only the least is compared. Empty in, empty out.
+    """
     shared = df.sparkSession.sparkContext.broadcast(models)
     at_text = df.columns.index(text_col)
 

@@ -102,6 +102,21 @@ def test_identify(spark):
     assert {r.lang_pred for r in langid.identify(df.limit(5), none).collect()} == {"und"}
 
 
+def test_marks_alone_are_no_letters(spark):
+    m = langid.estimate({k: dict(langid.grams(text(k, 300) + " e\u0301", 4)) for k in TONGUES}, 4)
+    texts = ["\u0301\u0301 \u0300", "12 \u0301", " " * 70 + "\u0301", " " * 70 + "e\u0301", "e\u0301"]
+    assert (langid.Scorer(m).score(texts)[1] > 0).tolist() == [False, False, False, True, True]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.lang_pred == "und" for r in langid.identify(df, m).orderBy("doc_id").collect()] == [True, True, True, False, False]
+
+
+def test_fit_is_bounded_in_characters(spark):
+    rows = [(i, text(k, 200), k) for i, k in enumerate(list(TONGUES) * 100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, all_ = langid.fit(df, chars_a_language=20_000), langid.fit(df)
+    assert 0 < len(few.probs[5].hashes) < 0.8 * len(all_.probs[5].hashes) and few.languages == all_.languages
+
+
 def test_held_out_accuracy(spark, sf_small):
     df = spark.read.parquet(f"{sf_small}/documents.parquet")
     got = langid.identify(df, langid.fit(df), keep=("lang",)).where("held_out and lang is not null").selectExpr("avg(double(lang = lang_pred)) as a", "avg(double(rejected)) as r").first()
