@@ -4,7 +4,8 @@ Paragraphs are lines, cut again at sentence ends. A paragraph is a candidate if
 `contains` tests decide for the whole text first, so texts without one are never cut. Features of a candidate are its distinct
 word 1- to 3-grams. A multinomial logistic regression over these sparse features, trained on the driver from the fixed
 templates below (whole notices and windows of them; windows that several families share, and the fixed other lines, are the unknown
-class), gives each family's probability at a fitted temperature. The top family stands if its probability reaches
+class), gives each family's probability at a temperature fitted on paragraphs of templates that the model in question did not see, whole
+templates being held out in turn. The top family stands if its probability reaches
 `MIN_PROBABILITY` and template comparison confirms it: at least `MIN_OVERLAP` of the paragraph's features occur in that
 family's templates, and one of them in no other family's. A candidate where it does not stand, as a notice within a longer
 sentence, takes the family of a phrase that it holds whole: a sentence of the templates of `PHRASE_WORDS` words or more that is one
@@ -117,8 +118,36 @@ OTHERS = (
     "A book about the public domain. Public domain films are rare. Creative commons is an organisation.",
     "Licensed under the Zeta License, Version 2.0. Licensed under the Acme Community License, version 1. Released under the Example Source License. This work is licensed under the Foo Public License. Licensed under other terms. License: see vendor. Licensed under the Sample General License, version 9.",
     "The bar has a liquor license. Licensed to serve food. A licensed electrician did the work. License fees rose. The licensing board met.",
+    "She holds a licence to practise medicine. The council will license street vendors. He was licensed as a teacher in the north. Their television licence was never paid.",
+    "The museum asked for permission to copy the letters. No permission is needed to walk here. Permission slips are due on Friday.",
+    "The song's copyright belongs to the widow. Copyright notices were printed in small type. The copyright expired long ago and nobody renewed it.",
+    "A warrant officer met us at the gate. Nothing could warrant such behaviour. The dealer honoured the warranty without a word.",
 )
 
+#: Usual wordings around a licence's name, and names by family; names of no family make the unknown side of each wording.
+FORMS = (
+    "Released under the {}.", "Licensed under the {}.", "This project is licensed under the terms of the {}.", "Distributed under the {}. See LICENSE for more information.", "This work is licensed under the {}.",
+    "The source code is available under the {}.", "You may use this file under the terms of the {}.", "All code in this repository is covered by the {}.", "Published under the {}, see the file COPYING.",
+    "Copyright (c) the authors. Licensed under the {}.", "This software is made available to you under the {}.", "License: {}", "We chose the {} as the license of this package.", "The documentation is licensed under the {} as well.",
+)
+FORM_NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "MIT license (MIT)"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license"),
+    "GPL": ("GNU General Public License, version 3", "GNU General Public License v2.0", "GNU GPL v3", "GPL-3.0"),
+    "LGPL": ("GNU Lesser General Public License, version 2.1", "GNU LGPL", "LGPL-3.0"),
+    "AGPL": ("GNU Affero General Public License, version 3", "GNU AGPL", "AGPL-3.0"),
+    "BSD": ("BSD License", "BSD 3-Clause License", "BSD-2-Clause license"),
+    "MPL": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL-2.0"),
+    "EPL": ("Eclipse Public License, version 2.0", "Eclipse Public License v1.0", "EPL-2.0"),
+    "ISC": ("ISC License", "ISC license (ISC)"),
+    "Public-Domain": ("Unlicense", "CC0 1.0 Universal Public Domain Dedication", "Creative Commons Zero license"),
+    "CC-BY": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0", "Creative Commons Attribution license"),
+    "CC-BY-SA": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike license"),
+    "CC-BY-NC": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial license"),
+    "CC-BY-ND": ("Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives license"),
+    UNKNOWN: ("Zeta License, Version 2.0", "Acme Community License, version 1", "Example Source License", "Foo Public License", "Sample General License, version 9", "Northwind Commercial License 4.0", "Vendor Agreement", "house rules", "state law", "Orchid Attribution License v3", "Quux Lesser License", "terms of sale"),
+}
+
 #: Words of a template sentence that is a phrase by itself.
 PHRASE_WORDS = 5
 #: Names by family, in plain words.
@@ -162,81 +191,129 @@ def features(paragraph: str) -> set[str]:
     return {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)}
 
 
-def samples() -> list[tuple[frozenset[str], str]]:
-    """(features, family) of training paragraphs."""
-    cases: dict[frozenset[str], set[str]] = {}
-    for family, texts in [*TEMPLATES.items(), (UNKNOWN, OTHERS)]:
-        for text in texts:
-            parts = {text.lower(), *re.split(CUT, text.lower())}
+def texts() -> list[tuple[str, int, str]]:
+    """(family, number, text) of the templates, then of the wordings, whose numbers follow."""
+    out = []
+    for family, some in [*TEMPLATES.items(), (UNKNOWN, OTHERS)]:
+        out += [(family, n, t) for n, t in enumerate(some)]
+        out += [(family, len(some) + n, form.format(name)) for n, form in enumerate(FORMS) for name in FORM_NAMES.get(family, ())]
+    return out
+
+
+def samples() -> list[tuple[frozenset[str], str, frozenset[tuple[str, int]]]]:
+    """(features, family, templates it is cut from) of training paragraphs."""
+    cases: dict[frozenset[str], set[tuple[str, int]]] = {}
+    for family, number, text in texts():
+        parts = {text.lower(), *re.split(CUT, text.lower())}
+        if number < len(TEMPLATES.get(family, OTHERS)):  # long notices in windows too
             for part in list(parts):
                 w = part.split()
                 parts |= {" ".join(w[i : i + n]) for n in (5, 9, 14) for i in range(0, max(1, len(w) - n + 1), 3)}
-            for part in parts:
-                if f := features(part):
-                    cases.setdefault(frozenset(f), set()).add(family)
-    return sorted(((f, next(iter(k)) if len(k) == 1 else UNKNOWN) for f, k in cases.items()), key=lambda c: (sorted(c[0]), c[1]))
+        for part in parts:
+            if f := features(part):
+                cases.setdefault(frozenset(f), set()).add((family, number))
+    told = [(f, next(iter(families)) if len(families := {name for name, _ in k}) == 1 else UNKNOWN, frozenset(k)) for f, k in cases.items()]
+    return sorted(told, key=lambda c: (sorted(c[0]), c[1]))
+
+
+class Rows:
+    """Sparse rows: each paragraph's features with a weight of 1 / sqrt(their number), and a last column of 1 for the bias."""
+
+    def __init__(self, rows: list[list[int]], columns: int):
+        self.row = np.repeat(np.arange(len(rows)), [len(r) + 1 for r in rows])
+        self.column = np.array([c for r in rows for c in (*r, columns)])
+        self.value = np.array([v for r in rows for v in (*[1 / np.sqrt(max(len(r), 1))] * len(r), 1.0)])[:, None]
+        self.starts = np.searchsorted(self.row, np.arange(len(rows)))
+        self.by_column = np.argsort(self.column, kind="stable")
+        self.columns, self.column_starts = np.unique(self.column[self.by_column], return_index=True)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[self.column] * self.value, self.starts, axis=0)
+
+    def turned_times(self, e: np.ndarray, out: np.ndarray) -> np.ndarray:
+        out[self.columns] += np.add.reduceat((e[self.row] * self.value)[self.by_column], self.column_starts, axis=0)
+        return out
+
+
+def solve(rows: Rows, y: np.ndarray, columns: int, classes: int, steps: int = 150, rate: float = 4.0, momentum: float = 0.9, decay: float = 1e-4) -> np.ndarray:
+    """Weights of a multinomial logistic regression, the bias in the last row."""
+    hot = np.eye(classes)[y]
+    w = np.zeros((columns + 1, classes))
+    v = np.zeros_like(w)
+    for _ in range(steps):
+        look = w + momentum * v
+        z = rows.times(look)
+        p = np.exp(z - z.max(1, keepdims=True))
+        error = (p / p.sum(1, keepdims=True) - hot) / len(y)
+        shrink = decay * look
+        shrink[-1] = 0
+        v = momentum * v - rate * rows.turned_times(error, shrink)
+        w = w + v
+    return w
+
+
+#: Whole templates held out in turn: number k of a family in fold k modulo this. Candidates without a known feature in training.
+FOLDS, BLANKS = 3, 60
+
+
+def probabilities(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+@cache
+def held_out() -> tuple[np.ndarray, np.ndarray]:
+    """(scores by family, family numbers) of paragraphs by models that saw none of the templates that they are cut from."""
+    cases = samples()
+    names = [UNKNOWN, *TEMPLATES]
+    scores, truth = [], []
+    for fold in range(FOLDS):
+        seen = [c for c in cases if any(n % FOLDS != fold for _, n in c[2])]
+        spared = [c for c in cases if all(n % FOLDS == fold for _, n in c[2])]
+        column = {f: i for i, f in enumerate(sorted(set().union(*(c[0] for c in seen))))}
+        y = np.array([names.index(c[1]) for c in seen] + [0] * BLANKS)
+        w = solve(Rows([sorted(column[g] for g in c[0]) for c in seen] + [[]] * BLANKS, len(column)), y, len(column), len(names))
+        # a feature without a weight still counts in the number of features, as it does in a scan
+        for f, family, _ in spared:
+            z = sum((w[column[g]] for g in f if g in column), np.zeros(len(names)))
+            scores.append(z / np.sqrt(len(f)) + w[-1])
+            truth.append(names.index(family))
+    return np.array(scores), np.array(truth)
 
 
 @cache
-def train(steps: int = 150, rate: float = 4.0, momentum: float = 0.9, decay: float = 1e-4) -> tuple[list[str], np.ndarray, dict[str, np.ndarray], dict[str, set[str]], float]:
+def train() -> tuple[list[str], np.ndarray, dict[str, np.ndarray], dict[str, set[str]], float]:
     """(families with unknown first, biases, weights a feature, families whose templates hold a feature, temperature)."""
     cases = samples()
     names = [UNKNOWN, *TEMPLATES]
-    vocabulary = sorted(set().union(*(f for f, _ in cases)))
+    vocabulary = sorted(set().union(*(c[0] for c in cases)))
     column = {f: i for i, f in enumerate(vocabulary)}
-    x = np.zeros((len(cases) + 60, len(vocabulary)), np.float32)  # the last rows: candidates without any known feature
-    y = np.zeros(len(x), int)
-    for i, (f, family) in enumerate(cases):
-        x[i, [column[g] for g in f]] = 1 / np.sqrt(len(f))
-        y[i] = names.index(family)
-    hot = np.eye(len(names), dtype=np.float32)[y]
-    spared = np.arange(len(x)) % 5 == 0
-
-    def solve(rows):
-        a, h = x[rows], hot[rows]
-        w = np.zeros((len(vocabulary) + 1, len(names)), np.float32)
-        v = np.zeros_like(w)
-        for _ in range(steps):
-            look = w + momentum * v
-            z = a @ look[:-1] + look[-1]
-            p = np.exp(z - z.max(1, keepdims=True))
-            error = (p / p.sum(1, keepdims=True) - h) / np.float32(len(a))
-            gradient = np.concatenate([a.T @ error + decay * look[:-1], error.sum(0, keepdims=True)])
-            v = momentum * v - rate * gradient
-            w = w + v
-        return w[:-1].astype(float), w[-1].astype(float)
-
-    w, b = solve(~spared)
-    z = x[spared] @ w + b
-
-    def loss(t):
-        s = z / t - (z / t).max(1, keepdims=True)
-        return -(s[np.arange(len(s)), y[spared]] - np.log(np.exp(s).sum(1))).mean()
-
-    temperature = min(np.arange(0.3, 3.01, 0.1), key=loss)
-    w, b = solve(np.ones(len(x), bool))
+    y = np.array([names.index(c[1]) for c in cases] + [0] * BLANKS)
+    w = solve(Rows([sorted(column[g] for g in c[0]) for c in cases] + [[]] * BLANKS, len(column)), y, len(column), len(names))
+    z, truth = held_out()
+    temperature = min(np.arange(0.3, 3.01, 0.1), key=lambda t: -np.log(probabilities(z / t)[np.arange(len(z)), truth] + 1e-12).mean())
     own: dict[str, set[str]] = {f: set() for f in vocabulary}
-    for family, texts in TEMPLATES.items():
-        for text in texts:
+    for family, _, text in texts():
+        if family != UNKNOWN:
             for part in (text.lower(), *re.split(CUT, text.lower())):
                 for f in features(part):
                     own[f].add(family)
-    return names, b, {f: w[i].round(6) for f, i in column.items()}, own, float(temperature)
+    return names, w[-1], {f: w[i].round(6) for f, i in column.items()}, own, float(temperature)
 
 
 @cache
 def phrases() -> dict[str, tuple[tuple[str, ...], tuple[str, ...]]]:
     """Template sentences and names of a family, in plain words."""
     by: dict[str, set[str]] = {}
-    for family, texts in TEMPLATES.items():
-        for text in texts:
+    for family, some in TEMPLATES.items():
+        for text in some:
             for part in re.split(CUT, text.lower()):
                 w = words_of(part)
                 if len(w) >= PHRASE_WORDS and features(part):
                     by.setdefault(" ".join(w), set()).add(family)
     held = {p: next(iter(k)) for p, k in by.items() if len(k) == 1}
     # a sentence that another family's sentence or an other text holds says nothing by itself
-    whole = [(family, " ".join(words_of(t.lower()))) for family, texts in [*TEMPLATES.items(), (UNKNOWN, OTHERS)] for t in texts]
+    whole = [(family, " ".join(words_of(t.lower()))) for family, some in [*TEMPLATES.items(), (UNKNOWN, OTHERS)] for t in some]
     held = {p: family for p, family in held.items() if not any(f"{p} " in f"{t} " and f != family for f, t in whole)}
     return {family: (tuple(sorted(p for p, f in held.items() if f == family)), PHRASES.get(family, ())) for family in TEMPLATES}
 

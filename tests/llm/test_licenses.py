@@ -89,3 +89,41 @@ LONGER = {
 def test_notices_within_longer_sentences(spark):
     got = {r.doc_id: r for r in lic.scan(spark.createDataFrame([(i, t) for i, t in enumerate(LONGER)], "doc_id long, text string")).collect()}
     assert {t: got[i].families for i, t in enumerate(LONGER)} == LONGER
+
+
+def test_calibration_on_templates_that_the_models_did_not_see():
+    z, truth = lic.held_out()
+    p = lic.probabilities(z / HEAT)
+    top, sure = p.argmax(1), p.max(1)
+    right = top == truth
+    assert len(z) > 1000 and right.mean() > 0.78 and right[truth == 0].mean() > 0.95
+    for low in (0.6, 0.7, 0.8, 0.9):
+        some = (sure >= low) & (sure < low + 0.1 + (low == 0.9))
+        assert some.sum() > 100 and abs(sure[some].mean() - right[some].mean()) < 0.1
+    taken = (sure >= lic.MIN_PROBABILITY) & (top > 0)
+    assert right[taken].mean() > 0.95 and (taken & (truth == 0)).sum() <= 0.02 * (truth == 0).sum()
+
+
+#: Lines that are in no template and no wording.
+FRESH = {
+    "This repo is MIT licensed.": "MIT", "Code: MIT License, docs: see site": "MIT", "jQuery plugin, licensed under MIT license, 2011": "MIT",
+    "The crate is dual-licensed; this copy falls under the Apache License, Version 2.0": "Apache-2.0", "Dieses Programm steht unter der GNU General Public License, version 3": "GPL",
+    "You can redistribute it under the GNU General Public License as published by the Free Software Foundation": "GPL", "bindings licensed under the LGPL": "LGPL",
+    "The server is licensed under the GNU Affero General Public License v3": "AGPL", "Distributed under a BSD 3-Clause License by the lab": "BSD",
+    "Redistributions of source code must keep the above copyright notice, this list of conditions and the following disclaimer": "BSD",
+    "file subject to the terms of the Mozilla Public License, v. 2.0": "MPL", "made available under the Eclipse Public License 2.0": "EPL", "Available under the ISC license": "ISC",
+    "the author has dedicated the work to the public domain under CC0": "Public-Domain", "Texts under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA",
+    "Images: Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC", "Map tiles, CC BY 4.0": "CC-BY",
+    "Your licence to fish ends in May.": "", "This agreement may be amended with the written permission of both sides.": "", "The warranty covers parts for one year.": "", "He redistributed the food parcels at dawn.": "",
+    "Licensed under the Umbrella Terms, version 12.": "", "A copyright lawyer explained the case.": "", "The pub is licensed until two in the morning.": "", "Released under the moonlight, the birds flew; no licence was asked.": "",
+    "Apache pilots had permission to land.": "", "A licence plate from the public sector": "", "Permission to speak, please?": "", "gpl is not a word in this dictionary": "", "The bsd club met on Monday under the bridge": "",
+}
+
+
+def test_fresh_lines(spark):
+    got = {r.doc_id: r.families for r in lic.scan(spark.createDataFrame(list(enumerate(FRESH)), "doc_id long, text string")).collect()}
+    wrong = {t: got[i] for i, (t, want) in enumerate(FRESH.items()) if got[i] != want}
+    known = sum(map(bool, FRESH.values()))
+    print(wrong)
+    assert sum(FRESH[t] == "" for t in wrong) == 0
+    assert sum(FRESH[t] != "" for t in wrong) <= 0.2 * known

@@ -88,6 +88,99 @@ def test_links_in_a_dense_cluster(spark, bucket):
     assert {i: roots.get(i, i) for i in want} == want
 
 
+def brute_sets(texts):
+    out = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        out[i] = frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    return out
+
+
+def brute_pairs(texts, similarity=0.8):
+    """Pairs of ids at the five-word similarity, by counting every shared shingle."""
+    sets, holders, shared = brute_sets(texts), defaultdict(list), defaultdict(int)
+    for i, s in sets.items():
+        for g in s or ("",):
+            for j in holders[g]:
+                shared[j, i] += 1
+            holders[g].append(i)
+    return {(a, b) for (a, b), n in shared.items() if n >= similarity * (len(sets[a] or ("",)) + len(sets[b] or ("",)) - n) - 1e-9}
+
+
+def brute_similar(texts, similarity=0.8):
+    """Groups of ids that pairs at the similarity connect."""
+    parent = {i: i for i in texts}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in brute_pairs(texts, similarity):
+        parent[top(b)] = top(a)
+    groups = defaultdict(list)
+    for i in texts:
+        groups[top(i)].append(i)
+    return list(groups.values())
+
+
+def cluster_texts():
+    texts = dict(enumerate(TEXTS))
+    for b in BASE[:8]:  # copies with more and more words exchanged, cut or added
+        for k in range(1, 10):
+            texts[len(texts)] = near(b, k)
+            words = b.split()
+            texts[len(texts)] = " ".join(words[: len(words) - 4 * k])
+            texts[len(texts)] = b + " " + prose(4 * k)
+    long = prose(3000)
+    for k in range(30):
+        texts[len(texts)] = near(long, k)
+    return texts
+
+
+@pytest.mark.parametrize("bucket", [1 << 16, 8])
+def test_similar_groups_against_brute_force(spark, bucket):
+    texts = cluster_texts()
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(5)
+    prints = {r.id: r.key for r in simhash.wide_prints(df, "id", "text", 5).collect()}
+    component = {r.key: r.component_id for r in simhash.similar_groups(df, "id", bucket=bucket).collect()}
+    got = {i: component[k] for i, k in prints.items()}
+    groups = brute_similar(texts)
+    for g in groups:  # nothing is linked that isn't similar, and a group's name is its least member
+        assert all(got[i] in g for i in g)
+    pairs = brute_pairs(texts)
+    found = sum(got[a] == got[b] for a, b in pairs)
+    assert found >= (0.97 if bucket > 8 else 0.9) * len(pairs) and len(pairs) > 300
+    sets = brute_sets(texts)
+    assert len(set(got.values())) >= len(groups) and all((prints[a] == prints[b]) == (sets[a] == sets[b]) for a, b in pairs)
+
+
+def test_similar_groups_of_one_large_cluster(spark, monkeypatch):
+    """Thousands of near copies: stars in place of pairs, and a bucket over the limit is keyed by a second segment."""
+    base = prose(300)
+    texts = {i: near(base, 1 + i % 3) for i in range(2500)} | {3000 + i: prose(100) for i in range(200)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    for bucket in (1 << 16, 500):
+        got = simhash.one_of_each(df, bucket=bucket).collect()
+        assert sum(r.doc_id < 3000 for r in got) <= 2 and sum(r.doc_id >= 3000 for r in got) == 200
+
+
+def test_recall_of_similar_pairs_on_documents(spark, sf_small):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_small.replace('0.001', '0.01')}/documents.parquet").collect()}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(4)
+    prints = {r.id: r.key for r in simhash.wide_prints(df, "id", "text", 5).collect()}
+    component = {r.key: r.component_id for r in simhash.similar_groups(df, "id").collect()}
+    pairs = brute_pairs(texts)
+    assert sum(component[prints[a]] == component[prints[b]] for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_one_of_each_edge_rows(spark):
+    df = spark.createDataFrame([(None, None, "a"), (None, "", "b"), (1, " \n", "c"), (1, "x", "d"), (2, "X", "e"), (3, "x y", "f")], "_placeloom_row long, text string, n string").repartition(3)
+    got = simhash.one_of_each(df).collect()
+    assert len(got) == 3 and got[0].__fields__ == ["_placeloom_row", "text", "n"] and sum(not (r.text or "").strip() for r in got) == 1
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
 def test_long_text_pieces(monkeypatch):
     text = prose(500)
     whole = simhash.fingerprint(text)
