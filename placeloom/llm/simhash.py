@@ -18,7 +18,7 @@ large-star/small-star rounds over the forests' edges.
 
 Three bits of 64 are a narrow reading: they find few pairs of a Jaccard similarity near 0.8. `similar_groups` therefore searches by the same
 signatures over wider fingerprints: 96 bits over a text's distinct five-word shingles, six segments of 16 bits, 96 one-wildcard
-variants, `RADIUS` differing bits, and set sizes that allow the similarity. What is found are candidates; a link is a pair whose exact Jaccard
+variants, at most `RADIUS` differing bits, and set sizes that allow the similarity. What is found are candidates; a link is a pair whose exact Jaccard
 similarity of shingle sets is `SIMILARITY` (0.8) or more. Texts of equal shingle sets are one candidate. Of a bucket's candidates star forests at
 half the radius and at the radius go on, not the pairs. Each text is verified against its nearest candidate first; then only
 candidates between groups that are still apart are. The chance that a pair at 0.8 shares a variant is 0.86, at 0.85 0.93, at 0.9 0.98 (a segment
@@ -45,7 +45,7 @@ from .decontam import mix
 
 SEED, SHINGLE, BITS = 42, 3, 3
 #: The reading of similar_groups: words a shingle, least similarity, differing bits of 96, segments of 16 bits.
-WORDS, SIMILARITY, RADIUS, SEGMENTS = 5, 0.8, 22, 6
+WORDS, SIMILARITY, RADIUS, SEGMENTS = 5, 0.8, 19, 6
 #: Buckets up to this size are compared all at once.
 SMALL = 64
 #: Distinct fingerprints compared within one task; larger buckets are keyed further.
@@ -431,11 +431,14 @@ def wide_candidates(distinct: DataFrame, similarity: float, radius: int, bucket:
     return found.groupBy("u", "v").agg(F.min("d").alias("d"))
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """The distinct ids of pairs."""
+    return pairs.select(F.col("u").alias("id")).distinct().unionByName(pairs.select(F.col("v").alias("id")).distinct()).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs (u, v) whose texts' shingle sets have the similarity. texts: (id, text)."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    texts = written(texts.join(nodes, "id", "left_semi"), "similar-texts")
-    both = pairs.select("u", "v").join(texts.withColumnRenamed("text", "a").withColumnRenamed("id", "u"), "u").join(texts.withColumnRenamed("text", "b").withColumnRenamed("id", "v"), "v")
+    both = pairs.select("u", "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")).hint("merge"), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")).hint("merge"), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
@@ -453,26 +456,33 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
     return written(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar-links")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """One row per distinct shingle set: key, rep (its least id), component_id (least id reachable over links at the similarity).
-
-    Ids are longs, none null and none repeated. A null text is an empty one; texts without a word are one set that links to no other.
-    """
+def similar_candidates(df: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int, radius: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(distinct shingle sets: key, rep; candidates: u, v, d)."""
     prints = written(wide_prints(df, id_col, text_col, shingle), "similar-prints")
     distinct = written(prints.groupBy("key", "hi", "lo", "n").agg(F.min("id").alias("rep")), "similar-sets")
     least = int(np.ceil(similarity / (1 - similarity) - 1e-9)) if similarity < 1 else 1 << 30  # smaller sets are similar only if equal
-    candidates = written(wide_candidates(distinct.where(F.col("n") >= least), similarity, radius, bucket), "similar-candidates")
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    nearest = candidates.groupBy("v").agg(F.min(F.struct("d", "u")).alias("near")).select(F.col("near.u").alias("u"), "v")
+    return distinct, written(wide_candidates(distinct.where(F.col("n") >= least), similarity, radius, bucket), "similar-candidates")
+
+
+def similar_roots(candidates: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(node, root) over the candidates that are links; texts: (id, text) of their ends at least."""
+    nearest = written(candidates.groupBy("v").agg(F.min(F.struct("d", "u")).alias("near")).select(F.col("near.u").alias("u"), "v"), "similar-nearest")
     links_ = verified(nearest, texts, similarity, shingle)
     roots = components(links_)
     # candidates between groups that are still apart
-    root = roots.select(F.col("node"), F.col("root"))
-    apart = candidates.join(root.withColumnRenamed("node", "u").withColumnRenamed("root", "ru"), "u", "left").join(root.withColumnRenamed("node", "v").withColumnRenamed("root", "rv"), "v", "left")
-    apart = apart.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v").join(nearest, ["u", "v"], "left_anti")
-    apart = written(apart, "similar-apart")
-    if not apart.isEmpty():
-        roots = components(links_.unionByName(verified(apart, texts, similarity, shingle)))
+    apart = candidates.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
+    apart = written(apart.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v").join(nearest, ["u", "v"], "left_anti"), "similar-apart")
+    return roots if apart.isEmpty() else components(links_.unionByName(verified(apart, texts, similarity, shingle)))
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """One row per distinct shingle set: key, rep (its least id), component_id (least id reachable over links at the similarity).
+
+    Ids are longs, none null and none repeated. A null text is an empty one; texts without a word are one set that links to no other.
+    """
+    distinct, candidates = similar_candidates(df, id_col, text_col, similarity, shingle, radius, bucket)
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ends(candidates), "id", "left_semi")
+    roots = similar_roots(candidates, written(texts, "similar-texts"), similarity, shingle)
     return distinct.join(roots, distinct.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("component_id"))
 
 
@@ -489,6 +499,11 @@ def one_of_each(df: DataFrame, text_col: str = "text", similarity: float = SIMIL
     while row in df.columns:
         row += "_"
     rows = written(df.withColumn(row, F.monotonically_increasing_id()), "rows")
-    groups = similar_groups(rows, row, text_col, similarity, shingle, bucket=bucket)
-    kept = written(groups.where("rep = component_id").select(F.col("rep").alias(row)), "kept")
-    return rows.join(kept, row, "left_semi").select(*df.columns)
+    distinct, candidates = similar_candidates(rows, row, text_col, similarity, shingle, RADIUS, bucket)
+    # texts are shuffled once, whatever the size: copies go, and the rest is split in rows with candidates and rows without
+    told = distinct.select(F.col("rep").alias(row)).join(ends(candidates).select(F.col("id").alias(row), F.lit(True).alias(row + "t")), row, "left")
+    rows = written(rows.join(told.withColumn(row + "t", F.coalesce(row + "t", F.lit(False))).hint("merge"), row), "rows")
+    touched = rows.where(F.col(row + "t"))
+    roots = similar_roots(candidates, touched.select(F.col(row).alias("id"), F.col(text_col).alias("text")), similarity, shingle)
+    touched = touched.join(roots.select(F.col("node").alias(row)).hint("merge"), row, "left_anti")
+    return rows.where(~F.col(row + "t")).select(*df.columns).unionByName(touched.select(*df.columns))
