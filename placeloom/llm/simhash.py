@@ -22,7 +22,7 @@ variants, at most `RADIUS` differing bits, and set sizes that allow the similari
 similarity of shingle sets is `SIMILARITY` (0.8) or more. Texts of equal shingle sets are one candidate. Of a bucket's candidates star forests at
 half the radius and at the radius go on, not the pairs. Each text is verified against its nearest candidate first; then only
 candidates between groups that are still apart are. The chance that a pair at 0.8 shares a variant is 0.86, at 0.85 0.93, at 0.9 0.98 (a segment
-differs by at most one bit; bits differ with probability acos(2J / (1 + J)) / pi). A bucket over `BUCKET` members is keyed by a second segment as well.
+differs by at most one bit; bits differ with probability acos(2J / (1 + J)) / pi), and 0.9, 0.98, over 0.99 that it lies within the radius. A bucket over `BUCKET` members is keyed by a second segment as well.
 
 Cases: null text = empty text. A null id gets its fingerprint's component like any row; where a fingerprint has no
 id at all, it takes no part in linking and its component is null. Repeated rows repeat. Empty in, empty out.
@@ -278,8 +278,8 @@ def wide_print(hashes: np.ndarray) -> tuple[int, int]:
     raw[:, :8] = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     raw[:, 8:] = (mix(hashes ^ np.uint64(SEED)) >> np.uint64(32)).astype(">u4").view(np.uint8).reshape(-1, 4)
     ones = np.zeros(96, np.int64)
-    for at in range(0, len(raw), CHUNK):
-        ones += np.unpackbits(raw[at : at + CHUNK], axis=1).sum(0, dtype=np.int64)
+    for at in range(0, len(raw), 1 << 15):  # 3 MB of bits at a time
+        ones += np.unpackbits(raw[at : at + (1 << 15)], axis=1).sum(0, dtype=np.int64)
     packed = np.packbits(ones * 2 > len(hashes)).tobytes()
     return int.from_bytes(packed[:8], "big", signed=True), int.from_bytes(packed[8:], "big", signed=True)
 
