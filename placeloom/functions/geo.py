@@ -27,9 +27,10 @@ def cell_place_id(ce: Column, cn: Column, size: int, offset: int = 0) -> Column:
 
 
 def group_of_place(place_id: Column, n: int, offset: int = 0) -> Column:
-    """The residue class again, from the place id alone."""
-    local = place_id - F.lit(offset)
-    return F.pmod(F.floor(local / 1_000_000), F.lit(n)) * n + F.pmod(F.pmod(local, F.lit(1_000_000)), F.lit(n))
+    """The residue class again, from the place id alone. Cells lie within 500,000 rows of the origin, to either side."""
+    shifted = place_id - F.lit(offset) + F.lit(500_000)
+    row = F.pmod(shifted, F.lit(1_000_000)) - 500_000
+    return F.pmod(F.floor(shifted / 1_000_000), F.lit(n)) * n + F.pmod(row, F.lit(n))
 
 
 def bearing(de: Column, dn: Column) -> Column:

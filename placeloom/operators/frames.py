@@ -98,7 +98,7 @@ RENDERERS = {"accumulate": (accumulate, 255), "countmask": (countmask, 0), "tenc
 
 def render(name: str, events: DataFrame, white_frame: bool | None = None) -> DataFrame:
     if name not in RENDERERS:
-        raise ValueError(f"unknown representation {name!r}; known: {sorted(RENDERERS)}")
+        raise ValueError(f"no renderer is called {name!r}; there are {', '.join(RENDERERS)}")
     if name == "countmask" and white_frame is not None:
         return countmask(events, white_frame)
     return RENDERERS[name][0](events)

@@ -116,9 +116,10 @@ def nested(places: DataFrame) -> DataFrame:
     return places.groupBy("place_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
 
 
-def circular_stats(df: DataFrame, group: str, degrees: Column) -> DataFrame:
-    """Per group: circular mean, and mean angular difference to it."""
-    means = df.groupBy(group).agg(geo.circular_mean(degrees).alias("mean_deg"))
+def circular_stats(df: DataFrame, group: str, degrees: Column, least: float = 0.0) -> DataFrame:
+    """Per group: circular mean, and mean angular difference to it; null where directions cancel out to a mean vector of `least` length or less."""
+    length = F.hypot(F.avg(F.sin(F.radians(degrees))), F.avg(F.cos(F.radians(degrees))))
+    means = df.groupBy(group).agg(F.when(length > least, geo.circular_mean(degrees)).alias("mean_deg"))
     return df.join(means, group).groupBy(group).agg(F.first("mean_deg").alias("mean_deg"), F.avg(geo.angular_difference(degrees, F.col("mean_deg"))).alias("spread_deg"), F.count("*").alias("n"))
 
 

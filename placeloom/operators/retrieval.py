@@ -19,6 +19,10 @@ from pyspark.sql.window import Window
 from ..functions.vectors import dot
 
 QUERY_BLOCK_BYTES = 32 << 20
+#: Bytes of a batch of references in double precision, and of its scores against a block of queries.
+REFERENCE_BYTES, SCORE_BYTES = 32 << 20, 64 << 20
+#: Bytes of query vectors up to which topk_expression is one plan; more go through topk.
+EXPRESSION_BYTES = 8 << 20
 #: Products of unit vectors in double precision differ by less than this between summation orders.
 HAIR = 1e-9
 
@@ -32,8 +36,11 @@ def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
 
 
 def query_blocks(queries: DataFrame, id_col: str, vector_col: str) -> Iterator[tuple[list, np.ndarray]]:
+    """Queries in blocks of bounded bytes: at most a block and a partition are on the driver. A null id is an error."""
     ids, rows, size = [], [], 0
     for r in queries.select(id_col, vector_col).toLocalIterator():
+        if r[0] is None:
+            raise ValueError(f"a query has no {id_col}")
         ids.append(r[0])
         rows.append(np.asarray(r[1], np.float64))
         size += rows[-1].nbytes
@@ -52,9 +59,10 @@ def candidates(bank: DataFrame, ids: list, block: np.ndarray, k: int, id_col: st
         ids, queries = shared.value
         bar = np.full(len(ids), -np.inf)  # each query's k-th best so far
         held = None  # query position, reference, score
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        rows = max(1, min(REFERENCE_BYTES // (8 * max(queries.shape[1], 1)), SCORE_BYTES // (8 * len(ids))))
+        for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
+            if batch.column(0).null_count:
+                raise ValueError(f"a reference has no {id_col}")
             refs = _matrix(batch.column(1), queries.shape[1])
             names = np.asarray(batch.column(0).to_pylist())
             scores = queries @ refs.T
@@ -97,7 +105,11 @@ def topk(bank: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector
 
 
 def topk_expression(bank: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """The same as one Catalyst plan, for narrow vectors and few queries (the query side must be small enough to broadcast)."""
+    """The same as one Catalyst plan, for narrow vectors and few queries: a stated query set against all rows. Queries of over
+    EXPRESSION_BYTES (summed up first) go through topk instead, in blocks."""
+    size = queries.agg(F.sum(F.size(vector_col) * 8 + 16)).first()[0] or 0
+    if size > EXPRESSION_BYTES:
+        return topk(bank, queries, k, id_col, vector_col)
     q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q")))
     scored = bank.select(F.col(id_col).alias("reference_id"), F.col(vector_col).alias("r")).crossJoin(q).select("query_id", "reference_id", dot(F.col("q"), F.col("r")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "reference_id")

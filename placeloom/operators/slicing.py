@@ -21,6 +21,22 @@ def with_slice(events: DataFrame, window_us: int, offset_us: int | None = None,
     return joined.where("t >= origin").withColumn("slice", F.floor((F.col("t") - F.col("origin")) / window_us).cast("long"))
 
 
+def between(events: DataFrame, window_us: int, first: int, end: int, offset_us: int | None = None) -> DataFrame:
+    """with_slice for the slices first .. end - 1 alone.
+
+    The time bounds become constants: one small job finds the first time (a column of one type, which row-group statistics shorten), and the
+    scan then skips every row group that lies outside.
+    """
+    if window_us <= 0 or end < first:
+        raise ValueError("window must be positive, and end not before first")
+    lo = events.agg(F.min("t")).first()[0]
+    if lo is None:
+        return events.where("false").withColumns({"origin": F.lit(None).cast("long"), "slice": F.lit(None).cast("long")})
+    origin = lo if offset_us is None else max(lo, offset_us)
+    inside = (F.col("t") >= origin + max(first, 0) * window_us) & (F.col("t") < origin + end * window_us)
+    return events.where(inside).withColumns({"origin": F.lit(origin).cast("long"), "slice": F.floor((F.col("t") - origin) / window_us).cast("long")})
+
+
 def sample_table(events: DataFrame, window_us: int, offset_us: int | None = None) -> DataFrame:
     """id, slice, start_ms, end_ms of every window, empty ones too; the last end is the last event's time.
 

@@ -85,9 +85,9 @@ def place_cells(spark, sf_dir):
     return places.cells(views(spark, sf_dir), 500, 2, (0, 3)).select("path", "ce", "cn", "cell_group")
 
 
-@query(f"WITH {VIEWS_SQL} SELECT DISTINCT ce // 500 * 1000000 + CAST(floor(cn / 500.0) AS BIGINT) AS place_id, cell_group, cell_group AS recovered FROM grouped WHERE cn >= 0")
+@query(f"WITH {VIEWS_SQL} SELECT DISTINCT ce // 500 * 1000000 + CAST(floor(cn / 500.0) AS BIGINT) AS place_id, cell_group, cell_group AS recovered FROM grouped")
 def cell_group_of_place(spark, sf_dir):
-    c = places.cells(views(spark, sf_dir), 500, 2, (0, 1, 2, 3)).where("cn >= 0")
+    c = places.cells(views(spark, sf_dir), 500, 2, (0, 1, 2, 3))
     pid = geo.cell_place_id(F.col("ce"), F.col("cn"), 500)
     return c.select(pid.cast("long").alias("place_id"), "cell_group").distinct().withColumn("recovered", geo.group_of_place(F.col("place_id"), 2).cast("long"))
 
@@ -134,12 +134,9 @@ _CIRC = """m AS (SELECT pano, (degrees(atan2(avg(sin(radians(heading))), avg(cos
   sqrt(pow(avg(sin(radians(heading))), 2) + pow(avg(cos(radians(heading))), 2)) AS strength FROM v GROUP BY pano)"""
 
 
-@query(f"WITH {VIEWS_SQL}, {_CIRC} SELECT v.pano, round(mean_deg, 4) AS mean_deg, round(avg(abs(((heading - mean_deg + 180.0) % 360.0 + 360.0) % 360.0 - 180.0)), 4) AS spread_deg, count(*) AS n FROM v JOIN m ON v.pano = m.pano WHERE strength > 1e-6 GROUP BY ALL")
+@query(f"WITH {VIEWS_SQL}, {_CIRC}, d AS (SELECT pano, CASE WHEN strength > 1e-6 THEN mean_deg END AS mean_deg FROM m) SELECT v.pano, round(mean_deg, 4) AS mean_deg, round(avg(abs(((heading - mean_deg + 180.0) % 360.0 + 360.0) % 360.0 - 180.0)), 4) AS spread_deg, count(*) AS n FROM v JOIN d ON v.pano = d.pano GROUP BY ALL")
 def circular_stats(spark, sf_dir):
-    v = views(spark, sf_dir)
-    rad = F.radians("heading")
-    defined = v.groupBy("pano").agg(F.sqrt(F.pow(F.avg(F.sin(rad)), 2) + F.pow(F.avg(F.cos(rad)), 2)).alias("strength")).where("strength > 1e-6")
-    return rounded(places.circular_stats(v.join(defined.select("pano"), "pano", "left_semi"), "pano", F.col("heading")), "mean_deg", "spread_deg", digits=4)
+    return rounded(places.circular_stats(views(spark, sf_dir), "pano", F.col("heading"), 1e-6), "mean_deg", "spread_deg", digits=4)
 
 
 def _stream_means_sql(angle: float, name: str) -> str:

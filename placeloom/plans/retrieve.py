@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -65,16 +68,16 @@ def top1_summary(spark, sf_dir):
     return rounded(metrics.top1_summary(_ranked(spark, sf_dir, 1)[0]), "mean_top1", "min_top1")
 
 
-@query("""WITH db AS (SELECT vec_id AS id, embedding AS e, vec_id % 5 AS cond FROM embeddings WHERE vec_id % 10 <> 0 AND vec_id % 5 IN (1, 3) AND (vec_id // 5) % 2 = 0),
+@query("""WITH db AS (SELECT vec_id AS id, embedding AS e, vec_id % 5 AS cond FROM embeddings WHERE vec_id % 5 <> 0),
 q AS (SELECT vec_id AS id, embedding AS e FROM embeddings WHERE vec_id % 10 = 0),
 scored AS (SELECT q.id AS query_id, db.id AS reference_id, cond, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: CAST(q.e[i] AS DOUBLE) * CAST(db.e[i] AS DOUBLE))) AS score FROM q, db),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, reference_id) AS rank FROM scored)
 SELECT query_id, reference_id, cond, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM ranked WHERE rank <= 10""")
 def pooled_retrieval(spark, sf_dir):
-    """Two traverses, strided and trimmed to valid positions, pooled by union into one database."""
+    """Every traverse but the queries' own, pooled by union into one database."""
     references, queries = bank(spark, sf_dir)
-    parts = [references.where(F.col("traverse") == cond).withColumn("slice", F.floor(F.col("id") / 5)).where("slice % 2 = 0").withColumn("cond", F.lit(cond).cast("long")) for cond in (1, 3)]
-    pool = parts[0].unionByName(parts[1])
+    parts = [references.where(F.col("traverse") == cond).withColumn("cond", F.lit(cond).cast("long")) for cond in (1, 2, 3, 4)]
+    pool = reduce(DataFrame.unionByName, parts)
     return rounded(retrieval.topk(pool, queries, 10).join(pool.select(F.col("id").alias("reference_id"), "cond"), "reference_id").select("query_id", "reference_id", "cond", "rank", "score"), "score")
 
 
@@ -192,6 +195,7 @@ def event_retrieval(spark, sf_dir):
     from .base import events
 
     samples, found = workflow.samples_and_bank(events(spark, sf_dir), StreamOptions(window_ms=DAY / 1000, sensor_size=(WIDTH, HEIGHT)), "accumulate", workflow.mean_model, (HEIGHT, WIDTH))
-    ranked = retrieval.topk(found.where("idx % 2 = 0"), found.where("idx % 2 = 1"), 1000)
+    days = found.where("idx % 2 = 0")
+    ranked = retrieval.topk(days, found.where("idx % 2 = 1"), max(1, days.count()))
     ranked = ranked.join(samples.select(F.col("id").alias("query_id"), F.col("slice").alias("query_slice")), "query_id")
     return rounded(ranked.groupBy("query_slice").agg(F.count("*").alias("compared"), F.max("score").alias("best")), "best", digits=3)

@@ -119,37 +119,34 @@ def linear_expression(spark, sf_dir):
     return rounded(table(spark, sf_dir, "embeddings").select("vec_id", y[0].alias("y0"), y[1].alias("y1")), "y0", "y1")
 
 
-def _sinkhorn_sql(m: int, n: int) -> str:
-    import math
-
-    base = -math.log(n + m)
-    s = f"""full_ AS (SELECT vec_id // 8 AS id FROM embeddings GROUP BY 1 HAVING count(*) = 8), sc AS (SELECT e.vec_id // 8 AS id, m, CAST(vec_id % 8 AS INT) AS n, CAST(embedding[m + 11] AS DOUBLE) AS s FROM embeddings e JOIN full_ ON full_.id = e.vec_id // 8, (SELECT unnest(range({m})) AS m)
-  UNION ALL SELECT e.vec_id // 8, {m}, CAST(vec_id % 8 AS INT), 1.0 FROM embeddings e JOIN full_ ON full_.id = e.vec_id // 8),
-z0 AS (SELECT *, CASE WHEN m = {m} THEN {base + math.log(n - m)!r} ELSE {base!r} END AS la, CAST(0 AS DOUBLE) AS v FROM sc)"""
+def _sinkhorn_sql(m: int) -> str:
+    s = f"""sized AS (SELECT vec_id // 8 AS id, CASE WHEN count(*) > {m} THEN count(*) END AS size FROM embeddings GROUP BY 1),
+sc AS (SELECT vec_id // 8 AS id, m, CAST(vec_id % 8 AS INT) AS n, CAST(embedding[m + 11] AS DOUBLE) AS s FROM embeddings, (SELECT unnest(range({m})) AS m)
+  UNION ALL SELECT vec_id // 8, {m}, CAST(vec_id % 8 AS INT), 1.0 FROM embeddings),
+z0 AS (SELECT sc.*, -ln(size + {m}) AS base, CASE WHEN m = {m} THEN -ln(size + {m}) + ln(size - {m}) ELSE -ln(size + {m}) END AS la, CAST(0 AS DOUBLE) AS v FROM sc JOIN sized ON sc.id = sized.id)"""
     for k in range(3):
-        s += f""", u{k} AS (SELECT id, m, n, s, la, v, la - ln(sum(exp(s + v)) OVER (PARTITION BY id, m)) AS u FROM z{k}),
-z{k + 1} AS (SELECT id, m, n, s, la, u, {base!r} - ln(sum(exp(s + u)) OVER (PARTITION BY id, n)) AS v FROM u{k})"""
-    return s + f", p AS (SELECT id, m, n, s + u + v - ({base!r}) AS lp FROM z3)"
+        s += f""", u{k} AS (SELECT id, m, n, s, base, la, v, la - ln(sum(exp(s + v)) OVER (PARTITION BY id, m)) AS u FROM z{k}),
+z{k + 1} AS (SELECT id, m, n, s, base, la, u, base - ln(sum(exp(s + u)) OVER (PARTITION BY id, n)) AS v FROM u{k})"""
+    return s + f", p AS (SELECT id, m, n, s + u + v - base AS lp FROM z3)"
 
 
 def _scores(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("id"), (F.col("vec_id") % 8).cast("int").alias("n"), "embedding")
-    full = e.groupBy("id").agg(F.count("*").alias("c")).where("c = 8").select("id")
-    return e.join(full, "id", "left_semi").select("id", "n", F.posexplode(F.slice("embedding", 11, 3)).alias("m", "s"))
+    return e.select("id", "n", F.posexplode(F.slice("embedding", 11, 3)).alias("m", "s"))
 
 
-@query(f"WITH {_sinkhorn_sql(3, 8)} SELECT id, CAST(m AS INT) AS m, n, round(lp, 6) AS lp FROM p")
+@query(f"WITH {_sinkhorn_sql(3)} SELECT id, CAST(m AS INT) AS m, n, round(lp, 6) AS lp FROM p")
 def sinkhorn(spark, sf_dir):
-    return rounded(pooling.sinkhorn(_scores(spark, sf_dir), 3, 8), "lp")
+    return rounded(pooling.sinkhorn(_scores(spark, sf_dir), 3), "lp")
 
 
-@query(f"""WITH {_FEATS}, {_sinkhorn_sql(3, 8)}, c AS (SELECT f.id, m, d, sum(v * exp(lp)) AS v FROM f JOIN p ON f.id = p.id AND f.n = p.n WHERE m < 3 GROUP BY ALL),
+@query(f"""WITH {_FEATS}, {_sinkhorn_sql(3)}, c AS (SELECT f.id, m, d, sum(v * exp(lp)) AS v FROM f JOIN p ON f.id = p.id AND f.n = p.n WHERE m < 3 GROUP BY ALL),
 cn AS (SELECT id, 2 + d * 3 + m AS pos, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY id, m)), 1e-12) AS v FROM c),
-t AS (SELECT vec_id // 8 AS id, k, CAST(embedding[k + 21] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(2)) AS k) WHERE vec_id % 8 = 0 AND vec_id // 8 IN (SELECT id FROM full_)),
+t AS (SELECT vec_id // 8 AS id, k, CAST(embedding[k + 21] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(2)) AS k) WHERE vec_id % 8 = 0),
 tn AS (SELECT id, k AS pos, v / greatest(sqrt(sum(v * v) OVER (PARTITION BY id)), 1e-12) AS v FROM t), a AS (SELECT * FROM tn UNION ALL SELECT * FROM cn)
 SELECT id, CAST(pos AS BIGINT) AS pos, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY id)), 1e-12), 6) AS v FROM a""")
 def salad_pool(spark, sf_dir):
     scores = _scores(spark, sf_dir)
-    tokens = table(spark, sf_dir, "embeddings").where("vec_id % 8 = 0").select(F.floor(F.col("vec_id") / 8).alias("id"), F.posexplode(F.slice("embedding", 21, 2)).alias("k", "v")).join(scores.select("id").distinct(), "id", "left_semi")
+    tokens = table(spark, sf_dir, "embeddings").where("vec_id % 8 = 0").select(F.floor(F.col("vec_id") / 8).alias("id"), F.posexplode(F.slice("embedding", 21, 2)).alias("k", "v"))
     tokens = tokens.withColumn("v", F.col("v").cast("double"))
-    return rounded(pooling.salad(_features(spark, sf_dir), scores, tokens, 3, 8, 4), "v")
+    return rounded(pooling.salad(_features(spark, sf_dir), scores, tokens, 3, None, 4), "v")

@@ -85,8 +85,20 @@ def write_png(planes: np.ndarray) -> bytes:
     return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
+#: First bytes of whole formats that only Pillow reads.
+OTHER_FORMATS = {b"\xff\xd8\xff": "JPEG", b"GIF8": "GIF", b"BM": "BMP", b"II*\0": "TIFF", b"MM\0*": "TIFF", b"RIFF": "WebP"}
+
+
+class NoDecoder(RuntimeError):
+    """An image of a format for which nothing is installed: not the same as an unreadable one."""
+
+
 def decode(data: bytes | None) -> np.ndarray | None:
-    """uint8 [3, H, W], or None if it can't be read."""
+    """uint8 [3, H, W], or None if it can't be read. A format that only Pillow reads is an error where Pillow is absent."""
+    if data and Image is None:
+        for start, name in OTHER_FORMATS.items():
+            if data.startswith(start):
+                raise NoDecoder(f"{name} images need Pillow on the executors; without it only PNG is read")
     try:
         if data and data[:8] == SIGNATURE:
             return read_png(data)

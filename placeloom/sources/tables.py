@@ -84,16 +84,20 @@ def ground_truth_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ground_truth_npy(spark: SparkSession, path: str) -> DataFrame:
-    """Cells (row, col, value) of a .npy matrix, read without pickles on the driver: a file format without a Spark reader."""
-    import numpy as np
+    """Cells (row, col, value) of a .npy matrix that are not 0, of a matrix read in blocks of rows by the tasks (see sources/npy.py).
 
-    m = np.load(path, allow_pickle=False, mmap_mode="r")
-    if m.ndim != 2:
-        raise ValueError("ground truth must be a matrix")
-    import pyarrow as pa
+    Its number of rows and columns is the shape that `matrix_shape` tells; nothing but the header comes to the driver.
+    """
+    from .npy import NpyCells
+
+    spark.dataSource.register(NpyCells)
+    return spark.read.format("npy_cells").load(path)
+
+
+def matrix_shape(path: str) -> tuple[int, int]:
+    from .npy import header
 
-    r, c = np.indices(m.shape)
-    return spark.createDataFrame(pa.table({"row": r.ravel(), "col": c.ravel(), "value": np.asarray(m).astype(np.int64).ravel()}))
+    return header(path).shape
 
 
 def coordinates_npz(spark: SparkSession, path: str, conditions: list[str]) -> DataFrame:

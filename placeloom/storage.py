@@ -4,20 +4,27 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}  # application id -> its folder
+_made: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir; where it is unset, the context's checkpoint folder, or in local mode a temporary folder.
+
+    A session of several machines without either is an error: a folder of one machine would not hold what the others write.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="placeloom-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="placeloom-"))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -25,4 +32,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that `written` makes inside are removed at the end; results must have been read or stored by then."""
+    start = len(_made)
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _made[start:]:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        del _made[start:]

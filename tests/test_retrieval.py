@@ -134,7 +134,7 @@ def test_workflow(spark, tmp_path):
     for bad in (dict(window_ms=0), dict(window_ms=float("nan")), dict(sensor_size=(0, 4)), dict(order="abc"), dict(time_unit="h")):
         with pytest.raises(ValueError):
             StreamOptions(**bad)
-    assert StreamOptions().given() == {"dt_ms": 50.0, "order": "txyp", "hot_pixel_filter": False}
+    assert StreamOptions().window_us == 50_000 and StreamOptions().offset_us is None
     with pytest.raises(ValueError, match="unsupported"):
         workflow.retrieve(events, events, options, representation="polmask")
 

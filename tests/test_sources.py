@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placeloom.sources import npz, sinks, tables
+from placeloom.operators import truth
+from placeloom.sources import npy, npz, sinks, tables
 from placeloom.sources.options import StreamOptions
 
 X, Y, T, P = np.array([1, 2, 3, 1], np.uint16), np.array([1, 2, 3, 2], np.uint16), np.array([0, 1000, 11000, 31000]), np.array([1, 0, 1, 0], np.uint8)
@@ -58,7 +59,7 @@ def test_index_json(spark, tmp_path):
         tables.index_json(spark, write([[1, ["a"]]]), 1, spark.createDataFrame([("b",)], "path string"))
 
 
-def test_csv_listing_ground_truth(spark, tmp_path):
+def test_csv_listing_ground_truth(spark, tmp_path, monkeypatch):
     (tmp_path / "gt.csv").write_text("query_id,reference_id,x\n007,a,1\n")
     assert tables.ground_truth_csv(spark, str(tmp_path / "gt.csv")).first().query_id == "007"
     (tmp_path / "bad.csv").write_text("query,reference\n1,2\n")
@@ -66,6 +67,22 @@ def test_csv_listing_ground_truth(spark, tmp_path):
         tables.ground_truth_csv(spark, str(tmp_path / "bad.csv"))
     np.save(tmp_path / "gt.npy", np.eye(2, dtype=np.uint8))
     assert tables.ground_truth_npy(spark, str(tmp_path / "gt.npy")).where("value = 1").count() == 2
+    matrix = np.random.default_rng(0).integers(0, 2, (37, 11))
+    sides = [spark.range(n).selectExpr("id as idx", "id") for n in matrix.shape]
+    for k, m in enumerate((matrix.astype(np.uint8), np.asfortranarray(matrix).astype(bool, order="F"), matrix.astype(np.float32))):
+        np.save(tmp_path / f"m{k}.npy", m)
+        path = str(tmp_path / f"m{k}.npy")
+        monkeypatch.setattr(npy, "BLOCK_BYTES", 100)
+        cells = tables.ground_truth_npy(spark, path)
+        assert {(r.row, r.col) for r in cells.collect()} == set(zip(*map(list, np.nonzero(matrix)), strict=True))
+        edges = truth.edges_from_matrix(cells, *sides, shape=tables.matrix_shape(path))
+        assert {(r.reference_id, r.query_id) for r in edges.collect()} == set(zip(*map(list, np.nonzero(matrix)), strict=True))
+    with pytest.raises(ValueError, match="expected"):
+        truth.edges_from_matrix(cells, sides[1], sides[0], shape=tables.matrix_shape(path))
+    for bad in (np.zeros(3), np.array([["a"]])):
+        np.save(tmp_path / "b.npy", bad)
+        with pytest.raises(ValueError):
+            tables.matrix_shape(str(tmp_path / "b.npy"))
     (tmp_path / "img" / "x").mkdir(parents=True)
     for n in ("x/b.png", "a.png", "c.jpg"):
         (tmp_path / "img" / n).write_bytes(b"1")
