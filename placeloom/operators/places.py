@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import geo
+from ..functions import geo, names
 from ..functions.ordering import rank_within, with_ordinal
 
 
@@ -38,6 +38,17 @@ def by_directory(images: DataFrame, min_images: int, max_images: int | None = No
     return df.select((F.lit(offset) + F.col("ordinal") * stride).cast("long").alias("place_id"), "path")
 
 
+def by_city_tree(images: DataFrame, min_images: int, offset: int = 0, per_city: int = 10_000_000) -> DataFrame:
+    """Class = number in the second field of `<city>/<city>_<number>_...` below a root; cities take ordinals by name. (place_id, path)
+
+    Names without a number there are left out; a city counts for the ordinals even if all of its names are.
+    """
+    parts = F.split("path", "/")
+    df = images.select(F.element_at(parts, -2).alias("city"), F.element_at(parts, -1).alias("name"), "path")
+    df = numbered(df, "city", "_c").withColumn("pid", names.place_of_name(F.col("name"))).where("pid is not null")
+    return at_least(df, ["city", "pid"], min_images).select((F.lit(offset) + F.col("_c") * per_city + F.col("pid")).cast("long").alias("place_id"), "path")
+
+
 def runs(images: DataFrame, scan: str, order: list[str], chunk: int, gap: int, min_images: int, offset: int = 0, per_scan: int = 1000, carry: tuple[str, ...] = (), coarse: Column | None = None) -> DataFrame:
     """Capture-ordered runs of `chunk` with `gap` dropped between; short runs go; at most per_scan surviving runs a scan.
 
@@ -94,16 +105,18 @@ def merge_decision(rows: DataFrame, tolerance: float = 25.0, least: int = 5) ->
     return out.select("city", F.coalesce("shared_clusters", F.lit(0)).alias("shared_clusters"), "median_distance", F.coalesce((F.col("shared_clusters") >= least) & (F.col("median_distance") <= tolerance), F.lit(False)).alias("merged"))
 
 
-def by_clusters(rows: DataFrame, bins: int, min_images: int, max_images: int | None = None, offset: int = 0, merge: DataFrame | None = None) -> DataFrame:
+def by_clusters(rows: DataFrame, bins: int, min_images: int, max_images: int | None = None, offset: int = 0, merge: DataFrame | None = None, cities: DataFrame | None = None) -> DataFrame:
     """City metadata to places: class = (cluster, view bin), with the split where its id spaces differ; ordinals by the key's text.
 
-    rows: city, split, cluster, heading, easting, northing, path. (place_id, city, path)
+    rows: city, split, cluster, heading, easting, northing, path, or a ready `view` (text of the bin) in place of heading.
+    cities: all cities that take an ordinal, if some have no row here. (place_id, city, path)
     """
     merge = merge_decision(rows) if merge is None else merge
-    df = rows.join(merge.select("city", "merged"), "city").withColumn("bin", geo.view_bin(F.col("heading"), bins))
-    key = F.when(F.col("merged"), F.format_string("(%d, %d)", "cluster", "bin")).otherwise(F.format_string("('%s', %d, %d)", "split", "cluster", "bin"))
+    view = F.col("view") if "view" in rows.columns else geo.view_bin(F.col("heading"), bins).cast("string")
+    df = rows.join(merge.select("city", "merged"), "city").withColumn("bin", view)
+    key = F.when(F.col("merged"), F.format_string("(%d, %s)", "cluster", "bin")).otherwise(F.format_string("('%s', %d, %s)", "split", "cluster", "bin"))
     df = df.withColumn("key", key)
-    cities = with_ordinal(rows.select("city").distinct(), ["city"], "_c")
+    cities = with_ordinal((rows if cities is None else cities).select("city").distinct(), ["city"], "_c")
     groups = df.select("city", "key").distinct().withColumn("_g", F.row_number().over(Window.partitionBy("city").orderBy("key")) - 1)
     df = at_least(df, ["city", "key"], min_images)
     if max_images:

@@ -14,19 +14,21 @@ from ..sources import sinks
 
 @dataclass(frozen=True)
 class StreamSpec:
-    """name; build(root) -> (place_id, path); subdirs to look for below the data root; groups cycle epochs if place_group is built too."""
+    """name; build(root) -> (place_id, path); subdirs to look for below the data root, and the part `below` them that is training data; groups
+    cycle epochs if place_group is built too."""
 
     name: str
     build: Callable[[str], DataFrame]
     subdirs: tuple[str, ...] = ("",)
     ext: str = ".png"
     cycle_groups: bool = False
+    below: str = ""
 
 
 def resolve_root(spark: SparkSession, base: str, spec: StreamSpec) -> str:
     """The first of subdirs (with jpg/ before the bare folder) that exists."""
     for sub in spec.subdirs:
-        for path in (f"{base}/{sub}/jpg".replace("//", "/"), f"{base}/{sub}".rstrip("/")):
+        for path in ("/".join(p for p in (base.rstrip("/"), sub, tail, spec.below) if p) for tail in ("jpg", "")):
             if sinks.exists(spark, path):
                 return path
     raise FileNotFoundError(f"{spec.name}: none of {spec.subdirs} is below {base}")

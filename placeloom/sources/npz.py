@@ -72,8 +72,8 @@ class NpzReader(DataSourceReader):
             )
 
 
-def to_parquet(spark, source: str, destination: str, **options) -> None:
-    """Convert recordings once; rows sorted by time, so row groups skip."""
+def to_parquet(spark, source: str, destination: str, fmt: str = "npz_events", **options) -> None:
+    """Convert recordings once; rows sorted by time, so row groups skip. fmt: a registered source of events."""
     spark.dataSource.register(NpzEvents)
-    df = spark.read.format("npz_events").options(**options).load(source)
+    df = spark.read.format(fmt).options(**options).load(source)
     df.repartitionByRange("path", "t").sortWithinPartitions("path", "t", "event_id").write.mode("overwrite").parquet(destination)

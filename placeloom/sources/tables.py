@@ -13,14 +13,17 @@ from .options import UNITS, StreamOptions
 
 
 def read_events(spark: SparkSession, path: str, options: StreamOptions | None = None, fmt: str = "parquet") -> DataFrame:
-    """Canonical events path, event_id, x, y, t (microseconds), p from Parquet, headerless CSV (columns by `order`) or NPZ."""
+    """Canonical events path, event_id, x, y, t (microseconds), p from Parquet, headerless CSV (columns by `order`), NPZ or HDF5 (with h5py)."""
     options = options or StreamOptions()
     keys = {k: k for k in "txyp"} | (options.keys or {})
-    if fmt == "npz":
+    if fmt in ("npz", "hdf5"):
+        from .hdf5 import Hdf5Events, library
         from .npz import NpzEvents
 
-        spark.dataSource.register(NpzEvents)
-        df = spark.read.format("npz_events").option("keys", json.dumps(keys)).option("time_unit", options.time_unit or "us").load(path)
+        if fmt == "hdf5":
+            library()
+        spark.dataSource.register(NpzEvents if fmt == "npz" else Hdf5Events)
+        df = spark.read.format(f"{fmt}_events").option("keys", json.dumps(keys)).option("time_unit", options.time_unit or "us").load(path)
         return df if options.sensor_size is None else _on_sensor(df, options)
     if fmt == "csv":
         df = spark.read.csv(path, schema=", ".join(f"{c} double" for c in options.order)).withColumn("event_id", F.monotonically_increasing_id())
