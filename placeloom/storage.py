@@ -27,13 +27,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _local.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="placeloom-"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here, and what is read twice is computed once."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write df as Parquet into the shared folder and read it back: lineage ends here, and what is read twice is computed once. Also its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`stored`, as an intermediate table that `temporary_tables` removes."""
+    out, path = stored(df, name)
     _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 @contextmanager
@@ -43,8 +54,6 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm = spark.sparkContext._jvm
         for path in _made[start:]:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            remove(spark, path)
         del _made[start:]
