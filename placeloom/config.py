@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
 from .operators.history import descriptor_width, token_grid
 from .operators.sets import TEST_CITIES
 
 
+@dataclass(frozen=True)
+class Backbone:
+    width: int
+    heads: int
+    registers: int
+
+
+#: Encoder sizes.
+BACKBONES = {"small": Backbone(384, 6, 0), "base": Backbone(768, 12, 4)}
+
+
 @dataclass(frozen=True)
 class Recipe:
     representation: str = "accumulate"
@@ -47,6 +58,16 @@ class Recipe:
         if missing := [c for c in self.validation_cities if c.lower() not in low]:  # they never train
             object.__setattr__(self, "exclude_cities", (*self.exclude_cities, *missing))
 
+    @property
+    def tokens(self) -> int:
+        """Patch tokens of an image."""
+        rows, columns = token_grid(self.image_height, self.image_width, self.patch)
+        return rows * columns
+
+    def at_size(self, side: int) -> Recipe:
+        """The recipe for square images of another size, a multiple of the patch."""
+        return replace(self, image_height=side, image_width=side)
+
     @property
     def descriptor_width(self) -> int:
         return self.projection or descriptor_width(self.clusters, self.cluster_dim, self.token_dim)

@@ -17,6 +17,33 @@ def best_heads(history: DataFrame, head: str = "head", floor: float = -1.0) -> D
     return out.withColumn("improved", (F.col("value") > F.col("best_before")).cast("int"))
 
 
+#: The selection that asks for both real recordings and held-out cities.
+COMBINED = "combined"
+
+
+def head_scores(evals: DataFrame, select: str, real: list[str], held_out: str = "indomain") -> DataFrame:
+    """(head, step, value) of the selection heads; evals: (step, condition, value), value null where a condition did not score.
+
+    real: mean over the real conditions that scored. i2e: the held-out condition. main: the selected condition, or COMBINED, the mean of
+    the real mean and the held-out one, which needs every real condition. A head without a value at a step has no row there.
+    """
+    per = evals.groupBy("step").agg(
+        F.avg(F.when(F.col("condition").isin(real), F.col("value"))).alias("real"),
+        F.count(F.when(F.col("condition").isin(real), F.col("value"))).alias("n"),
+        F.max(F.when(F.col("condition") == held_out, F.col("value"))).alias("i2e"),
+        F.max(F.when(F.col("condition") == select, F.col("value"))).alias("one"),
+    )
+    main = F.when(F.col("n") == len(set(real)), (F.col("real") + F.col("i2e")) / 2) if select == COMBINED else F.col("one")
+    heads = F.array(*[F.struct(F.lit(h).alias("head"), v.alias("value")) for h, v in (("main", main), ("real", F.col("real")), ("i2e", F.col("i2e")))])
+    return per.select("step", F.explode(heads).alias("h")).select("h.head", "step", "h.value").where("value is not null")
+
+
+def best_of_heads(scores: DataFrame) -> DataFrame:
+    """(head, step, value): the first step at which each head reached its best."""
+    best = scores.groupBy("head").agg(F.max(F.struct(F.col("value"), (-F.col("step")).alias("s"))).alias("b"))
+    return best.select("head", (-F.col("b.s")).alias("step"), F.col("b.value").alias("value"))
+
+
 def evals_since_best(history: DataFrame, head: str = "head") -> DataFrame:
     """Adds since_best: evaluations since the last improvement (0 at one)."""
     upto = Window.partitionBy(head).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)

@@ -73,6 +73,21 @@ def lr_schedule(spark, sf_dir):
     return rounded(table(spark, sf_dir, "orders").select("o_orderkey", history.lr_schedule(step, 500, 5e-5, 10000, 1e-6).alias("lr")), "lr", digits=10)
 
 
+_EVALS = """ev AS (SELECT CAST((year(o_orderdate) - 1990) * 12 + month(o_orderdate) AS BIGINT) AS step, o_orderpriority AS condition, CASE WHEN count(*) % 7 <> 0 THEN round(avg(o_totalprice), 2) END AS value FROM orders GROUP BY 1, 2),
+per AS (SELECT step, avg(value) FILTER (WHERE condition IN ('1-URGENT', '2-HIGH')) AS real, count(value) FILTER (WHERE condition IN ('1-URGENT', '2-HIGH')) AS n, max(value) FILTER (WHERE condition = '5-LOW') AS i2e FROM ev GROUP BY step),
+heads AS (SELECT 'main' AS head, step, (real + i2e) / 2 AS value FROM per WHERE n = 2 UNION ALL SELECT 'real', step, real FROM per UNION ALL SELECT 'i2e', step, i2e FROM per),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY value DESC, step) AS k FROM heads WHERE value IS NOT NULL)"""
+
+
+@query(f"WITH {_EVALS} SELECT head, step, round(value, 4) AS value FROM ranked WHERE k = 1")
+def selection_heads(spark, sf_dir):
+    """The best step of each selection head, from evaluations by month and priority; each seventh count is an evaluation without a score."""
+    o = table(spark, sf_dir, "orders")
+    step = ((F.year("o_orderdate") - 1990) * 12 + F.month("o_orderdate")).cast("long")
+    evals = o.groupBy(step.alias("step"), F.col("o_orderpriority").alias("condition")).agg(F.when(F.count("*") % 7 != 0, F.round(F.avg("o_totalprice"), 2)).alias("value"))
+    return rounded(history.best_of_heads(history.head_scores(evals, history.COMBINED, ["1-URGENT", "2-HIGH"], "5-LOW")), "value", digits=4)
+
+
 _NAMES = """nm AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'encoder.blocks.' || (p_partkey % 12) || '.attn.weight' WHEN 1 THEN 'encoder.patch_embed.proj.weight' WHEN 2 THEN 'encoder.cls_token' WHEN 3 THEN 'encoder.norm.bias' WHEN 4 THEN 'aggregator.score.' || (p_partkey % 3) || '.weight' ELSE 'transformer.layer.bias' END AS name, p_partkey % 3 AS rank FROM part)"""
 
 

@@ -132,3 +132,12 @@ def test_city_rows_need_their_files(spark):
     paths = ["B_0000001_2020_05_090_1.10_2.20_x.jpg", "B_0000001_2020_06_090_1.10_2.20_y.jpg"]
     listing = spark.createDataFrame([(p,) for p in paths], "path string")
     assert sorted(map(tuple, places.by_city_rows(meta, listing, 2).collect())) == [(100_001, paths[0]), (100_001, paths[1])]
+
+
+def test_sizes_and_backbones():
+    from placeloom.config import BACKBONES, Recipe
+
+    assert Recipe().tokens == 256 and Recipe().at_size(322).tokens == 529
+    with pytest.raises(ValueError, match="patch"):
+        Recipe().at_size(225)
+    assert BACKBONES["base"].width % BACKBONES["base"].heads == 0
