@@ -94,7 +94,7 @@ def test_empty_frame_and_dispatch(spark):
     for name, background in (("accumulate", 255), ("countmask", 0)):
         rows = frames.dense(frames.render(name, frames.in_bounds(none, 10, 8)), slices, 10, 8, background).collect()
         assert len(rows) == 80 and {(r.r, r.g, r.b) for r in rows} == {(background,) * 3}
-    with pytest.raises(ValueError, match="unknown representation"):
+    with pytest.raises(ValueError, match="no renderer"):
         frames.render("other", none)
 
 
