@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes to clash with no column (letter case aside) of df, nor to begin one."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about `limit` bytes of `column` (one row at least)."""
     for batch in batches:

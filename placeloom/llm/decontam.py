@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, unused, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 BLOCK_BYTES, BLOCK_ITEMS = 8 << 20, 20_000
@@ -356,8 +356,8 @@ def clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str
     if block is None:
         docs = df.select(text_key(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
         found = joined(docs, numbered(items, item_col, item_text_col).select("item", "text"), shingle, threshold)
-        found = found.select(F.col("key").alias("_placeloom_key")).distinct()
-        return df.join(found, text_key(text_col) == F.col("_placeloom_key"), "left_anti")
+        key = unused(df, "_placeloom_key")
+        return df.join(found.select(F.col("key").alias(key)).distinct(), text_key(text_col) == F.col(key), "left_anti")
     shared = spark.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

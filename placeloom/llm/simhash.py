@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import slices, unused, written
 from .components import components
 from .decontam import mix
 
@@ -495,9 +495,7 @@ def one_of_each(df: DataFrame, text_col: str = "text", similarity: float = SIMIL
     A null text is an empty one, and of all texts without a word one row stays. Repeated rows and equal texts are one group; of ties the row
     that stands first in the written table stays. Empty in, empty out. An input column may have any name.
     """
-    row = ROW
-    while row in df.columns:
-        row += "_"
+    row = unused(df, ROW)
     rows = written(df.withColumn(row, F.monotonically_increasing_id()), "rows")
     distinct, candidates = similar_candidates(rows, row, text_col, similarity, shingle, RADIUS, bucket)
     # texts are shuffled once, whatever the size: copies go, and the rest is split in rows with candidates and rows without

@@ -175,9 +175,9 @@ def test_recall_of_similar_pairs_on_documents(spark, sf_small):
 
 
 def test_one_of_each_edge_rows(spark):
-    df = spark.createDataFrame([(None, None, "a"), (None, "", "b"), (1, " \n", "c"), (1, "x", "d"), (2, "X", "e"), (3, "x y", "f")], "_placeloom_row long, text string, n string").repartition(3)
+    df = spark.createDataFrame([(None, None, "a"), (None, "", "b"), (1, " \n", "c"), (1, "x", "d"), (2, "X", "e"), (3, "x y", "f")], "_Placeloom_rowt long, text string, n string").repartition(3)
     got = simhash.one_of_each(df).collect()
-    assert len(got) == 3 and got[0].__fields__ == ["_placeloom_row", "text", "n"] and sum(not (r.text or "").strip() for r in got) == 1
+    assert len(got) == 3 and got[0].__fields__ == ["_Placeloom_rowt", "text", "n"] and sum(not (r.text or "").strip() for r in got) == 1
     assert simhash.one_of_each(df.limit(0)).count() == 0
 
 
@@ -427,7 +427,12 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     want = brute_containment(texts, items)
     got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_found) for r in decontam.contaminated(df, bench).collect()}
     assert got == want and len(want) > 60
+    left = {r.doc_id for r in decontam.clean(df, bench).collect()}
+    assert left == set(range(len(texts))) - {i for i, _ in want}
     monkeypatch.setattr(decontam, "BLOCK_ITEMS", 7)
+    clash = df.withColumnsRenamed({"fp": "_placeloom_key", "shard": "key"})
+    kept = decontam.clean(clash, bench)
+    assert kept.columns == clash.columns and {r.doc_id for r in kept.collect()} == left
     got = {(r.doc_id, r.item_id): (r.n_shingles, r.n_found) for r in decontam.contaminated(df, bench).collect()}
     assert got == want
     assert decontam.contaminated(df, bench.limit(0)).count() == 0 == decontam.contaminated(df.limit(0), bench).count()
