@@ -21,8 +21,8 @@ from ..functions.vectors import dot
 QUERY_BLOCK_BYTES = 32 << 20
 #: Bytes of a batch of references in double precision, and of its scores against a block of queries.
 REFERENCE_BYTES, SCORE_BYTES = 32 << 20, 64 << 20
-#: Bytes of query vectors up to which topk_expression is one plan; more go through topk.
-EXPRESSION_BYTES = 8 << 20
+#: Bytes of query vectors, and pairs of a query and a reference, up to which topk_expression is one plan of a row a pair.
+EXPRESSION_BYTES, EXPRESSION_PAIRS = 8 << 20, 1 << 20
 #: Products of unit vectors in double precision differ by less than this between summation orders.
 HAIR = 1e-9
 
@@ -89,8 +89,13 @@ def candidates(bank: DataFrame, ids: list, block: np.ndarray, k: int, id_col: st
     return bank.select(id_col, vector_col).mapInArrow(run, f"query_id {kind}, reference_id {kind}, score double")
 
 
-def topk(bank: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, reference_id, rank (from 1), score; k is clamped to the bank by its nature."""
+def _best(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "reference_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "reference_id", "rank", "score")
+
+
+def _found(bank: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str) -> DataFrame:
+    """query_id, reference_id, score: what may be among a query's k best."""
     if k < 1:
         raise ValueError("k must be positive")
     found = None
@@ -100,17 +105,34 @@ def topk(bank: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector
     if found is None:
         kind = bank.schema[id_col].dataType.simpleString()
         found = bank.sparkSession.createDataFrame([], f"query_id {kind}, reference_id {kind}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "reference_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "reference_id", "rank", "score")
+    return found
+
+
+def topk(bank: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, reference_id, rank (from 1), score; k is clamped to the bank by its nature."""
+    return _best(_found(bank, queries, k, id_col, vector_col), k)
+
+
+def _scored(bank: DataFrame, queries: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """query_id, reference_id, score of all pairs."""
+    q = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q"))
+    r = bank.select(F.col(id_col).alias("reference_id"), F.col(vector_col).alias("r"))
+    return r.crossJoin(q).select("query_id", "reference_id", dot(F.col("q"), F.col("r")).alias("score"))
 
 
 def topk_expression(bank: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
-    """The same as one Catalyst plan, for narrow vectors and few queries: a stated query set against all rows. Queries of over
-    EXPRESSION_BYTES (summed up first) go through topk instead, in blocks."""
-    size = queries.agg(F.sum(F.size(vector_col) * 8 + 16)).first()[0] or 0
-    if size > EXPRESSION_BYTES:
-        return topk(bank, queries, k, id_col, vector_col)
-    q = F.broadcast(queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("q")))
-    scored = bank.select(F.col(id_col).alias("reference_id"), F.col(vector_col).alias("r")).crossJoin(q).select("query_id", "reference_id", dot(F.col("q"), F.col("r")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "reference_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "reference_id", "rank", "score")
+    """The same as one Catalyst plan, for narrow vectors, few queries and a small bank: every pair is a row of it.
+
+    Beyond EXPRESSION_PAIRS pairs or EXPRESSION_BYTES of queries (both counted first) pairs are scored in blocks as in topk; only those with a row
+    that has no place in a matrix (a null id or vector, another width than most, an element that is null or not finite) stay rows of the plan.
+    """
+    size = queries.agg(F.sum(F.size(vector_col) * 8 + 16).alias("bytes"), F.count("*").alias("n"), F.mode(F.size(vector_col)).alias("width")).first()
+    if (size.bytes or 0) <= EXPRESSION_BYTES and size.n * bank.count() <= EXPRESSION_PAIRS:
+        return _best(_scored(bank, F.broadcast(queries), id_col, vector_col), k)
+    bad = F.exists(vector_col, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
+    odd = F.coalesce(F.col(id_col).isNull() | (F.size(vector_col) != F.lit(size.width)) | bad, F.lit(True))
+    found = _found(bank.where(~odd), queries.where(~odd), k, id_col, vector_col)
+    for b, q in ((bank.where(odd), queries), (bank.where(~odd), queries.where(odd))):
+        if not b.isEmpty() and not q.isEmpty():
+            found = found.unionByName(_scored(b, q, id_col, vector_col))
+    return _best(found, k)

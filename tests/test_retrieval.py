@@ -1,6 +1,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from placeloom.operators import metrics, retrieval, truth
 from placeloom.plans import ORACLES, QUERIES, workflow
@@ -48,6 +49,31 @@ def test_ties_blocks_and_errors(spark, monkeypatch):
         retrieval.topk(refs, bank(spark, np.ones((1, 3))), 1).collect()
 
 
+def test_expression_of_many_pairs_goes_in_blocks(spark, sf_small, tmp_path, monkeypatch):
+    """A row a pair only up to EXPRESSION_PAIRS; the rows are the SQL's on either side of it, with common vectors and with null ones."""
+    e = spark.read.parquet(f"{sf_small}/embeddings.parquet")
+    e = e.withColumn("embedding", F.expr("case when vec_id in (7, 20) then null when vec_id % 3 = 0 then first(embedding) over (order by vec_id) else embedding end"))
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    pairs = []
+    scored = retrieval._scored
+    monkeypatch.setattr(retrieval, "_scored", lambda b, q, *a: pairs.append(b.count() * q.count()) or scored(b, q, *a))
+    assert plan_against_sql(spark, tmp_path, "topk_expression") == "" and pairs == [450 * 50]
+    pairs.clear()
+    monkeypatch.setattr(retrieval, "EXPRESSION_PAIRS", 1000)
+    assert plan_against_sql(spark, tmp_path, "topk_expression") == "" and pairs == [50, 449]
+
+
+def test_expression_of_odd_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(unit(rng.normal(size=(30, 4))))]
+    rows[3], rows[4], rows[5] = (3, None), (4, [float("nan")] * 4), (5, [0.5, float("inf"), 0.5, 0.5])
+    refs, queries = (spark.createDataFrame(r, "id long, embedding array<float>") for r in (rows, rows[2:12]))
+    whole = retrieval.topk_expression(refs, queries, 6).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(retrieval, "EXPRESSION_PAIRS", 10)
+    assert str(retrieval.topk_expression(refs, queries, 6).orderBy("query_id", "rank").collect()) == str(whole) and len(whole) == 60
+    assert retrieval.topk_expression(refs.limit(0), queries, 6).count() == 0 == retrieval.topk_expression(refs, queries.limit(0), 6).count()
+
+
 def samples(spark, ids):
     return spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "idx long, id string")
 
