@@ -21,8 +21,10 @@ signatures over wider fingerprints: 96 bits over a text's distinct five-word shi
 variants, at most `RADIUS` differing bits, and set sizes that allow the similarity. What is found are candidates; a link is a pair whose exact Jaccard
 similarity of shingle sets is `SIMILARITY` (0.8) or more. Texts of equal shingle sets are one candidate. Of a bucket's candidates star forests at
 half the radius and at the radius go on, not the pairs. Each text is verified against its nearest candidate first; then only
-candidates between groups that are still apart are. The chance that a pair at 0.8 shares a variant is 0.86, at 0.85 0.93, at 0.9 0.98 (a segment
-differs by at most one bit; bits differ with probability acos(2J / (1 + J)) / pi), and 0.9, 0.98, over 0.99 that it lies within the radius. A bucket over `BUCKET` members is keyed by a second segment as well.
+candidates between groups that are still apart are, and at last the pairs of buckets that gave stars in their place, again only between groups
+that are apart: every candidate is verified or its texts are in one group. A bucket over `BUCKET` members is first keyed by a second segment as well, which
+joins most of it cheaply; then its blocks meet block by block, so no pair of it is lost. The chance that a pair at 0.8 shares a variant is 0.86, at 0.85 0.93, at 0.9 0.98 (a segment
+differs by at most one bit; bits differ with probability acos(2J / (1 + J)) / pi), and 0.9, 0.98, over 0.99 that it lies within the radius.
 
 Cases: null text = empty text. A null id gets its fingerprint's component like any row; where a fingerprint has no
 id at all, it takes no part in linking and its component is null. Repeated rows repeat. Empty in, empty out.
@@ -334,7 +336,8 @@ class Bucket:
                     todo.extend(hit.tolist())
         return out
 
-    def links(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    def links(self, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index arrays of candidates, and whether a member's bucket gave stars in place of pairs."""
         starts = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]]))
         sizes = np.diff(np.append(starts, len(self.key)))
         size = np.repeat(sizes, sizes)
@@ -358,7 +361,34 @@ class Bucket:
                 continue
             for r in (radius // 2, radius):
                 out += self.forest(a, b, r)
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+        return *(np.concatenate(c) for c in zip(*out, strict=True)), np.repeat(dense, sizes)
+
+    def apart(self, radius: int, root: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Index arrays of all candidates between roots. Members of part 1 or 2 are compared with the other part's alone."""
+
+        def pairs(i, j):
+            near = (root[i] != root[j]) & ((part[j] == 0) | (part[i] != part[j]))
+            i, j = np.broadcast_to(i, j.shape)[near], j[near]
+            near = self.close(i, j, radius)
+            return i[near], j[near]
+
+        starts = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]]))
+        sizes = np.diff(np.append(starts, len(self.key)))
+        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        starts, sizes, few = starts[mixed], sizes[mixed], sizes[mixed] <= SMALL
+        at = np.concatenate([np.empty(0, np.int64), *(np.arange(a, a + n) for a, n in zip(starts[few].tolist(), sizes[few].tolist(), strict=True))])
+        ends = np.repeat(starts[few] + sizes[few], sizes[few])
+        for step in range(1, int(sizes[few].max(initial=0))):
+            inside = at + step < ends
+            at, ends = at[inside], ends[inside]
+            yield pairs(at, at + step)
+        for a, n in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
+            values, count = np.unique(root[a : a + n], return_counts=True)
+            # members of the most frequent root meet the others only
+            most = root[a : a + n] == values[count.argmax()]
+            order = a + np.concatenate([np.flatnonzero(~most), np.flatnonzero(most)])
+            for k in range(int((~most).sum())):
+                yield pairs(order[k : k + 1], order[k + 1 :])
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[tuple[bool, list[np.ndarray]]]:
@@ -389,8 +419,9 @@ def whole_buckets(batches: Iterator[pa.RecordBatch], limit: int | None) -> Itera
         yield False, held
 
 
-def wide_candidates(distinct: DataFrame, similarity: float, radius: int, bucket: int) -> DataFrame:
-    """u, v, d: candidates u < v at d differing bits. distinct: (hi, lo, n, rep)."""
+def wide_candidates(distinct: DataFrame, similarity: float, radius: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v, d: candidates u < v at d differing bits; key, hi, lo, n, rep, over: members of buckets whose candidates are not all among
+    them, either because stars stand for pairs or, if over, because of the bucket's size). distinct: (hi, lo, n, rep)."""
 
     def search(limit: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +431,10 @@ def wide_candidates(distinct: DataFrame, similarity: float, radius: int, bucket:
                     yield pa.record_batch([none, none, pa.nulls(len(columns[0]), pa.int32()), *map(pa.array, columns)], names=names)
                     continue
                 members = Bucket(columns, similarity)
-                i, j = members.links(radius)
+                i, j, dense = members.links(radius)
+                if limit is not None and dense.any():
+                    none = pa.nulls(int(dense.sum()), pa.int64())
+                    yield pa.record_batch([none, none, pa.array(np.zeros(len(none), np.int32)), *(pa.array(c[dense]) for c in columns)], names=names)
                 if len(i):
                     u, v = members.rep[i], members.rep[j]
                     rest = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())]
@@ -423,12 +457,52 @@ def wide_candidates(distinct: DataFrame, similarity: float, radius: int, bucket:
 
     one = written(keyed(distinct.select("hi", "lo", "n", "rep"), F.lit(0).cast("long")).mapInArrow(search(bucket), schema), "similar1")
     found = one.where("key is null")
-    large = one.where("key is not null")
+    members = one.where("key is not null").select("key", "hi", "lo", "n", "rep", F.col("d").isNull().alias("over"))
+    large = members.where("over")
     if not large.isEmpty():
-        members = large.select(F.col("key").alias("first"), "hi", "lo", "n", "rep")
-        two = keyed(members, F.col("first") * F.lit(1 << 24), F.expr("shiftright(first, 20)"))
+        two = keyed(large.select(F.col("key").alias("first"), "hi", "lo", "n", "rep"), F.col("first") * F.lit(1 << 24), F.expr("shiftright(first, 20)"))
         found = found.unionByName(written(two.mapInArrow(search(None), schema), "similar2"))
-    return found.groupBy("u", "v").agg(F.min("d").alias("d"))
+    return found.groupBy("u", "v").agg(F.min("d").alias("d")), members
+
+
+def apart_candidates(members: DataFrame, roots: DataFrame, similarity: float, radius: int, bucket: int) -> DataFrame:
+    """u, v: all candidates u < v of the members' buckets whose texts have different roots. A bucket over the limit is cut in blocks by hash, and
+    each two blocks meet in a task."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, columns in whole_buckets(batches, None):
+            *columns, root, part = columns
+            rows = Bucket(columns, similarity)
+            held, n = [], 0
+            for i, j in rows.apart(radius, root, part):
+                held.append((rows.rep[i], rows.rep[j]))
+                n += len(i)
+                if n >= 1 << 16 or len(held) >= 1 << 12:
+                    yield batch(held)
+                    held, n = [], 0
+            if n:
+                yield batch(held)
+
+    def batch(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        u, v = (np.concatenate(c) for c in zip(*held, strict=True))
+        return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    members = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    columns = ["key", "hi", "lo", "n", "rep", "root"]
+    mixed = written(members.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most"), "similar-mixed")
+    if mixed.isEmpty():
+        return members.sparkSession.createDataFrame([], "u long, v long")
+    rows = members.join(mixed.where(F.col("size") <= bucket).select("key"), "key", "left_semi").select(*columns, F.lit(0).alias("part"))
+    large = mixed.where(F.col("size") > bucket)
+    if not large.isEmpty():
+        # about half a bucket a block
+        blocks = F.ceil(F.col("size") / max(1, bucket // 2)).cast("long")
+        cut = members.join(large.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        cut = cut.select(*columns, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        tile = F.greatest("block", "other") * F.lit(1 << 16) + F.least("block", "other") + F.lit(1)
+        part = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") > F.col("other"), 1).otherwise(2)
+        rows = rows.unionByName(cut.select((F.col("key") + tile * F.lit(1 << 24)).alias("key"), *columns[1:], part.alias("part")))
+    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(search, "u long, v long").distinct()
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -456,23 +530,33 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
     return written(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "similar-links")
 
 
-def similar_candidates(df: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int, radius: int, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """(distinct shingle sets: key, rep; candidates: u, v, d)."""
+def similar_candidates(df: DataFrame, id_col: str, text_col: str, similarity: float, shingle: int, radius: int, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(distinct shingle sets: key, rep; candidates: u, v, d; members of buckets with further candidates, as in wide_candidates)."""
     prints = written(wide_prints(df, id_col, text_col, shingle), "similar-prints")
     distinct = written(prints.groupBy("key", "hi", "lo", "n").agg(F.min("id").alias("rep")), "similar-sets")
     least = int(np.ceil(similarity / (1 - similarity) - 1e-9)) if similarity < 1 else 1 << 30  # smaller sets are similar only if equal
-    return distinct, written(wide_candidates(distinct.where(F.col("n") >= least), similarity, radius, bucket), "similar-candidates")
+    candidates, members = wide_candidates(distinct.where(F.col("n") >= least), similarity, radius, bucket)
+    return distinct, written(candidates, "similar-candidates"), members
+
+
+def tested(candidates: DataFrame, members: DataFrame) -> DataFrame:
+    """id of all texts that may have to be verified: stars reach all members with a candidate, but for those of buckets over the limit."""
+    return ends(candidates).unionByName(members.where("over").select(F.col("rep").alias("id")).distinct()).distinct()
 
 
-def similar_roots(candidates: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(node, root) over the candidates that are links; texts: (id, text) of their ends at least."""
+def similar_roots(candidates: DataFrame, members: DataFrame, texts: DataFrame, similarity: float, shingle: int, radius: int, bucket: int) -> DataFrame:
+    """(node, root) over the candidates that are links; texts: (id, text) of those in `tested` at least."""
     nearest = written(candidates.groupBy("v").agg(F.min(F.struct("d", "u")).alias("near")).select(F.col("near.u").alias("u"), "v"), "similar-nearest")
     links_ = verified(nearest, texts, similarity, shingle)
     roots = components(links_)
     # candidates between groups that are still apart
     apart = candidates.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
     apart = written(apart.where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v").join(nearest, ["u", "v"], "left_anti"), "similar-apart")
-    return roots if apart.isEmpty() else components(links_.unionByName(verified(apart, texts, similarity, shingle)))
+    if not apart.isEmpty():
+        links_ = links_.unionByName(verified(apart, texts, similarity, shingle))
+        roots = components(links_)
+    rest = written(apart_candidates(members, roots, similarity, radius, bucket).join(nearest.unionByName(apart), ["u", "v"], "left_anti"), "similar-rest")
+    return roots if rest.isEmpty() else components(links_.unionByName(verified(rest, texts, similarity, shingle)))
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -480,9 +564,9 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Ids are longs, none null and none repeated. A null text is an empty one; texts without a word are one set that links to no other.
     """
-    distinct, candidates = similar_candidates(df, id_col, text_col, similarity, shingle, radius, bucket)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ends(candidates), "id", "left_semi")
-    roots = similar_roots(candidates, written(texts, "similar-texts"), similarity, shingle)
+    distinct, candidates, members = similar_candidates(df, id_col, text_col, similarity, shingle, radius, bucket)
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(tested(candidates, members), "id", "left_semi")
+    roots = similar_roots(candidates, members, written(texts, "similar-texts"), similarity, shingle, radius, bucket)
     return distinct.join(roots, distinct.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("component_id"))
 
 
@@ -497,11 +581,11 @@ def one_of_each(df: DataFrame, text_col: str = "text", similarity: float = SIMIL
     """
     row = unused(df, ROW)
     rows = written(df.withColumn(row, F.monotonically_increasing_id()), "rows")
-    distinct, candidates = similar_candidates(rows, row, text_col, similarity, shingle, RADIUS, bucket)
+    distinct, candidates, members = similar_candidates(rows, row, text_col, similarity, shingle, RADIUS, bucket)
     # texts are shuffled once, whatever the size: copies go, and the rest is split in rows with candidates and rows without
-    told = distinct.select(F.col("rep").alias(row)).join(ends(candidates).select(F.col("id").alias(row), F.lit(True).alias(row + "t")), row, "left")
+    told = distinct.select(F.col("rep").alias(row)).join(tested(candidates, members).select(F.col("id").alias(row), F.lit(True).alias(row + "t")), row, "left")
     rows = written(rows.join(told.withColumn(row + "t", F.coalesce(row + "t", F.lit(False))).hint("merge"), row), "rows")
     touched = rows.where(F.col(row + "t"))
-    roots = similar_roots(candidates, touched.select(F.col(row).alias("id"), F.col(text_col).alias("text")), similarity, shingle)
+    roots = similar_roots(candidates, members, touched.select(F.col(row).alias("id"), F.col(text_col).alias("text")), similarity, shingle, RADIUS, bucket)
     touched = touched.join(roots.select(F.col("node").alias(row)).hint("merge"), row, "left_anti")
     return rows.where(~F.col(row + "t")).select(*df.columns).unionByName(touched.select(*df.columns))

@@ -155,6 +155,43 @@ def test_similar_groups_against_brute_force(spark, bucket):
     assert len(set(got.values())) >= len(groups) and all((prints[a] == prints[b]) == (sets[a] == sets[b]) for a, b in pairs)
 
 
+@pytest.mark.parametrize("bucket", [1 << 16, 40, 8])
+def test_no_candidate_of_a_bucket_is_lost(spark, bucket):
+    """Similar texts that agree in a segment but for one bit, within the radius, are in one group, whatever their bucket's size and density."""
+    texts = cluster_texts()
+    base = prose(120)
+    for k in range(250):  # similar to few of many others within the radius
+        texts[len(texts)] = near(base, 3 + k % 4)
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(5)
+    prints = {r.id: r for r in simhash.wide_prints(df, "id", "text", 5).collect()}
+    component = {r.key: r.component_id for r in simhash.similar_groups(df, "id", bucket=bucket).collect()}
+    bits = {i: ((r.hi % (1 << 64)) << 32) | (r.lo % (1 << 32)) for i, r in prints.items()}
+
+    def meet(x):
+        return x.bit_count() <= simhash.RADIUS and any((x >> s & 0xFFFF).bit_count() <= 1 for s in range(0, 96, 16))
+
+    pairs = [(a, b) for a, b in brute_pairs(texts) if prints[a].n >= 4 and meet(bits[a] ^ bits[b])]
+    assert len(pairs) > 1000 and [p for p in pairs if component[prints[p[0]].key] != component[prints[p[1]].key]] == []
+
+
+def test_blocks_of_a_large_bucket_meet(spark):
+    """Members that share one segment and no other are candidates, in a bucket over the limit as in any other."""
+    rng = np.random.default_rng(3)
+    rows = [(int(rng.integers(1 << 60)) << 4 & ~0xFFFF | 5, int(rng.integers(-(1 << 31), 1 << 31)), 50, i) for i in range(200)]
+    for i in range(0, 200, 4):  # 15 bits from the last, three in each other segment
+        flip = sum(0x0111 << at for at in (16, 32, 48))
+        hi = (rows[i][0] & 0x7FFFFFFFFFFFFFFF) ^ flip & 0x7FFFFFFFFFFFFFFF
+        rows.append((hi, int(np.int32(np.uint32((rows[i][1] % (1 << 32)) ^ 0x01110111))), 50, 1000 + i))
+    rows = [(h & 0x7FFFFFFFFFFFFFFF, *r) for h, *r in rows]
+    distinct = spark.createDataFrame(rows, "hi long, lo int, n int, rep long")
+    none = spark.createDataFrame([], "node long, root long")
+    for bucket in (1 << 16, 70, 2):
+        candidates, members = simhash.wide_candidates(distinct, 0.8, 19, bucket)
+        more = simhash.apart_candidates(members, none, 0.8, 19, bucket)
+        got = {(r.u, r.v) for r in candidates.select("u", "v").union(more).collect()}
+        assert {(i, 1000 + i) for i in range(0, 200, 4)} <= got
+
+
 def test_similar_groups_of_one_large_cluster(spark, monkeypatch):
     """Thousands of near copies: stars in place of pairs, and a bucket over the limit is keyed by a second segment."""
     base = prose(300)
