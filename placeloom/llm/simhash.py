@@ -20,9 +20,10 @@ Three bits of 64 are a narrow reading: they find few pairs of a Jaccard similari
 signatures over wider fingerprints: 96 bits over a text's distinct five-word shingles, six segments of 16 bits, 96 one-wildcard
 variants, at most `RADIUS` differing bits, and set sizes that allow the similarity. What is found are candidates; a link is a pair whose exact Jaccard
 similarity of shingle sets is `SIMILARITY` (0.8) or more. Texts of equal shingle sets are one candidate. Of a bucket's candidates star forests at
-half the radius and at the radius go on, not the pairs. Each text is verified against its nearest candidate first; then only
-candidates between groups that are still apart are, and at last the pairs of buckets that gave stars in their place, again only between groups
-that are apart: every candidate is verified or its texts are in one group. A bucket over `BUCKET` members is first keyed by a second segment as well, which
+half the radius and at the radius (there only links between groups) go on, not the pairs. Each text is verified against its nearest candidate first; then only
+candidates between groups that are still apart are. What is then left in buckets that gave stars in place of pairs, between groups that are apart, makes no
+row a pair: sketches rule pairs out, a spanning forest of the others gives groups, and a group's sets meet in tasks, which return links that join.
+Every candidate is verified, ruled out or its texts are in one group. A bucket over `BUCKET` members is first keyed by a second segment as well, which
 joins most of it cheaply; then its blocks meet block by block, so no pair of it is lost. The chance that a pair at 0.8 shares a variant is 0.86, at 0.85 0.93, at 0.9 0.98 (a segment
 differs by at most one bit; bits differ with probability acos(2J / (1 + J)) / pi), and 0.9, 0.98, over 0.99 that it lies within the radius.
 
@@ -52,6 +53,10 @@ WORDS, SIMILARITY, RADIUS, SEGMENTS = 5, 0.8, 19, 6
 SMALL = 64
 #: Distinct fingerprints compared within one task; larger buckets are keyed further.
 BUCKET = 1 << 16
+#: Shingles compared within one task; larger groups meet block by block.
+BLOCK = 1 << 19
+#: Bits of a sketch.
+CELLS = 1 << 10
 CHUNK = 1 << 20
 
 
@@ -286,6 +291,23 @@ def wide_print(hashes: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(packed[:8], "big", signed=True), int.from_bytes(packed[8:], "big", signed=True)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """`CELLS` bits: whether a cell holds an odd number of a shingle set's hashes. Each element that only one of two sets has changes one bit, so
+    sketches differ in no more bits than sets in elements."""
+    return np.packbits(np.bincount((hashes & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1).tobytes()
+
+
+def sketched(texts: DataFrame, shingle: int) -> DataFrame:
+    """id, set (the shingle set's bytes), sketch of texts (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
+            yield pa.record_batch([part.column(0), pa.array([h.tobytes() for h in sets], pa.binary()), pa.array([sketch(h) for h in sets], pa.binary())], names=["id", "set", "sketch"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, set binary, sketch binary")
+
+
 def wide_prints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """Per row: id, key (equal for equal shingle sets), hi, lo (the fingerprint), n (size of the set)."""
     src = df.select(id_col, text_col)
@@ -303,10 +325,15 @@ def wide_prints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
 
 
 class Bucket:
-    """Members of buckets, sorted by key: fingerprints, set sizes, representatives and the side of the wildcard bit."""
+    """Members of buckets, sorted by key: fingerprints, set sizes, representatives and the side of the wildcard bit.
+
+    With `root`, only members of different roots are candidates, and those of part 1 or 2 only with the other part's; with `sketch`, only
+    those whose sketches allow the similarity."""
 
-    def __init__(self, columns: list[np.ndarray], similarity: float):
+    def __init__(self, columns: list[np.ndarray], similarity: float, root: np.ndarray | None = None, part: np.ndarray | None = None, sketch: np.ndarray | None = None):
         self.key, self.hi, self.lo, self.n, self.rep = columns
+        self.root, self.part = root, part
+        self.sketch = None if sketch is None else np.frombuffer(b"".join(sketch), np.uint64).reshape(len(sketch), -1)
         self.hi, self.lo, self.similarity = self.hi.view(np.uint64), self.lo.view(np.uint32), similarity
         # the last variant of a key: its low 16 bits are the segment's value, above them are segment * 16 + wildcard
         variant = (self.key >> 16) & 0x7F
@@ -320,7 +347,15 @@ class Bucket:
     def close(self, i, j, radius: int) -> np.ndarray:
         """Whether members are candidates: texts that agree in the whole segment are compared under wildcard 0 alone."""
         sizes = np.minimum(self.n[i], self.n[j]) >= self.similarity * np.maximum(self.n[i], self.n[j]) - 1e-9
-        return sizes & (self.distance(i, j) <= radius) & (~self.across[j] | (self.side[i] != self.side[j]))
+        near = sizes & (self.distance(i, j) <= radius) & (~self.across[j] | (self.side[i] != self.side[j]))
+        if self.root is not None:
+            near &= (self.root[i] != self.root[j]) & ((self.part[j] == 0) | (self.part[i] != self.part[j]))
+        if self.sketch is not None:
+            k = np.flatnonzero(near)
+            i, j = np.broadcast_to(i, j.shape)[k], j[k]
+            most = (1 - self.similarity) / (1 + self.similarity) * (self.n[i] + self.n[j]) + 1e-6
+            near[k] = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(1, dtype=np.int64) <= most
+        return near
 
     def forest(self, a: int, b: int, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Stars over members a to b: index arrays of links."""
@@ -336,8 +371,9 @@ class Bucket:
                     todo.extend(hit.tolist())
         return out
 
-    def links(self, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index arrays of candidates, and whether a member's bucket gave stars in place of pairs."""
+    def links(self, *radii: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index arrays of candidates, and whether stars (at each radius, a wider one's only between groups) stand for a member's pairs (at the last)."""
+        radius = radii[-1]
         starts = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]]))
         sizes = np.diff(np.append(starts, len(self.key)))
         size = np.repeat(sizes, sizes)
@@ -358,37 +394,24 @@ class Bucket:
         for k in np.flatnonzero(dense).tolist():
             a, b = int(starts[k]), int(starts[k] + sizes[k])
             if self.across[a] and (self.side[a:b] == self.side[a]).all():
+                dense[k] = False  # no candidate is sought here
                 continue
-            for r in (radius // 2, radius):
-                out += self.forest(a, b, r)
-        return *(np.concatenate(c) for c in zip(*out, strict=True)), np.repeat(dense, sizes)
-
-    def apart(self, radius: int, root: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index arrays of all candidates between roots. Members of part 1 or 2 are compared with the other part's alone."""
-
-        def pairs(i, j):
-            near = (root[i] != root[j]) & ((part[j] == 0) | (part[i] != part[j]))
-            i, j = np.broadcast_to(i, j.shape)[near], j[near]
-            near = self.close(i, j, radius)
-            return i[near], j[near]
-
-        starts = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]]))
-        sizes = np.diff(np.append(starts, len(self.key)))
-        mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
-        starts, sizes, few = starts[mixed], sizes[mixed], sizes[mixed] <= SMALL
-        at = np.concatenate([np.empty(0, np.int64), *(np.arange(a, a + n) for a, n in zip(starts[few].tolist(), sizes[few].tolist(), strict=True))])
-        ends = np.repeat(starts[few] + sizes[few], sizes[few])
-        for step in range(1, int(sizes[few].max(initial=0))):
-            inside = at + step < ends
-            at, ends = at[inside], ends[inside]
-            yield pairs(at, at + step)
-        for a, n in zip(starts[~few].tolist(), sizes[~few].tolist(), strict=True):
-            values, count = np.unique(root[a : a + n], return_counts=True)
-            # members of the most frequent root meet the others only
-            most = root[a : a + n] == values[count.argmax()]
-            order = a + np.concatenate([np.flatnonzero(~most), np.flatnonzero(most)])
-            for k in range(int((~most).sum())):
-                yield pairs(order[k : k + 1], order[k + 1 :])
+            stars = [self.forest(a, b, r) for r in radii]
+            out += stars[0]
+            if len(radii) > 1:  # of the wider stars only links between groups that are still apart
+                top = np.arange(b - a)
+                for at, hit in stars[0]:
+                    top[hit - a] = top[at[0] - a]  # a forest's stars come from its roots on
+                for at, hit in stars[1]:
+                    joined, first = np.unique(top[hit - a], return_index=True)
+                    fresh = first[joined != top[at[0] - a]]
+                    if len(fresh):
+                        out.append((at[fresh], hit[fresh]))
+                        top[np.isin(top, joined)] = top[at[0] - a]
+        i, j = (np.concatenate(c) for c in zip(*out, strict=True))
+        linked = np.zeros(len(self.key), bool)  # other members have no candidate in their bucket
+        linked[i] = linked[j] = True
+        return i, j, np.repeat(dense, sizes) & linked
 
 
 def whole_buckets(batches: Iterator[pa.RecordBatch], limit: int | None) -> Iterator[tuple[bool, list[np.ndarray]]]:
@@ -431,7 +454,7 @@ def wide_candidates(distinct: DataFrame, similarity: float, radius: int, bucket:
                     yield pa.record_batch([none, none, pa.nulls(len(columns[0]), pa.int32()), *map(pa.array, columns)], names=names)
                     continue
                 members = Bucket(columns, similarity)
-                i, j, dense = members.links(radius)
+                i, j, dense = members.links(radius // 2, radius)
                 if limit is not None and dense.any():
                     none = pa.nulls(int(dense.sum()), pa.int64())
                     yield pa.record_batch([none, none, pa.array(np.zeros(len(none), np.int32)), *(pa.array(c[dense]) for c in columns)], names=names)
@@ -465,44 +488,124 @@ def wide_candidates(distinct: DataFrame, similarity: float, radius: int, bucket:
     return found.groupBy("u", "v").agg(F.min("d").alias("d")), members
 
 
+def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets of more than one root, with their root and the bucket's size."""
+    members = written(members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), "similar-members")
+    mixed = members.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most")
+    return written(members.join(mixed.select("key", "size"), "key").select("key", "hi", "lo", "n", "rep", "root", "size"), "similar-mixed")
+
+
 def apart_candidates(members: DataFrame, roots: DataFrame, similarity: float, radius: int, bucket: int) -> DataFrame:
-    """u, v: all candidates u < v of the members' buckets whose texts have different roots. A bucket over the limit is cut in blocks by hash, and
-    each two blocks meet in a task."""
+    """`mixed_candidates` of all members."""
+    return mixed_candidates(mixed_members(members, roots), similarity, radius, bucket)
+
+
+def mixed_candidates(members: DataFrame, similarity: float, radius: int, bucket: int, done: DataFrame | None = None, sketches: DataFrame | None = None) -> DataFrame:
+    """u, v: candidates u < v of the buckets of `mixed_members` whose texts have different roots; of a bucket with more of them than members a
+    spanning forest, so that components hold the ends of all. Pairs in `done` are left out where they aren't of a forest, pairs whose sketches
+    (id, sketch) rule the similarity out everywhere. A bucket over the limit is cut in blocks by hash, and each two blocks meet in a task."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, columns in whole_buckets(batches, None):
-            *columns, root, part = columns
-            rows = Bucket(columns, similarity)
-            held, n = [], 0
-            for i, j in rows.apart(radius, root, part):
-                held.append((rows.rep[i], rows.rep[j]))
-                n += len(i)
-                if n >= 1 << 16 or len(held) >= 1 << 12:
-                    yield batch(held)
-                    held, n = [], 0
-            if n:
-                yield batch(held)
-
-    def batch(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        u, v = (np.concatenate(c) for c in zip(*held, strict=True))
-        return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
-
-    members = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+            rows = Bucket(columns[:5], similarity, *columns[5:])
+            i, j, dense = rows.links(radius)
+            if len(i):
+                u, v = rows.rep[i], rows.rep[j]
+                yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(dense[i])], names=["u", "v", "star"])
+
     columns = ["key", "hi", "lo", "n", "rep", "root"]
-    mixed = written(members.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least != most"), "similar-mixed")
-    if mixed.isEmpty():
-        return members.sparkSession.createDataFrame([], "u long, v long")
-    rows = members.join(mixed.where(F.col("size") <= bucket).select("key"), "key", "left_semi").select(*columns, F.lit(0).alias("part"))
-    large = mixed.where(F.col("size") > bucket)
-    if not large.isEmpty():
-        # about half a bucket a block
-        blocks = F.ceil(F.col("size") / max(1, bucket // 2)).cast("long")
-        cut = members.join(large.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        cut = cut.select(*columns, "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        tile = F.greatest("block", "other") * F.lit(1 << 16) + F.least("block", "other") + F.lit(1)
-        part = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") > F.col("other"), 1).otherwise(2)
-        rows = rows.unionByName(cut.select((F.col("key") + tile * F.lit(1 << 24)).alias("key"), *columns[1:], part.alias("part")))
-    return rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(search, "u long, v long").distinct()
+    # about half a bucket a block; most buckets are one
+    blocks = F.when(F.col("size") > bucket, F.ceil(F.col("size") / max(1, bucket // 2)).cast("long")).otherwise(1)
+    rows = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    tile = F.greatest("block", "other") * F.lit(1 << 16) + F.least("block", "other") + F.when(F.col("blocks") > 1, 1).otherwise(0)
+    part = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") > F.col("other"), 1).otherwise(2)
+    rows = rows.select((F.col("key") + tile * F.lit(1 << 24)).alias("key"), *columns[1:], part.alias("part"))
+    if sketches is not None:  # members without a text have no candidate
+        rows = rows.join(sketches.select(F.col("id").alias("rep"), "sketch"), "rep").select("key", *columns[1:], "part", "sketch")
+    found = rows.repartition("key").sortWithinPartitions("key", "rep").mapInArrow(search, "u long, v long, star boolean")
+    found = found.groupBy("u", "v").agg(F.max("star").alias("star"))
+    if done is not None:
+        found = found.join(done.select("u", "v", F.lit(True).alias("done")), ["u", "v"], "left").where(F.col("star") | F.col("done").isNull())
+    return found.select("u", "v")
+
+
+def joining(sets: list[np.ndarray], root: np.ndarray, part: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index arrays of pairs at the similarity that join the roots just as all such pairs do. Members of part 1 or 2 meet the other part's alone.
+
+    Each set that isn't of the most frequent root is looked up by its rarest elements, so many that a similar set has one of them at least."""
+    n = np.array([len(s) for s in sets])
+    elements, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
+    order = np.argsort(elements, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], elements[order][1:] != elements[order][:-1]]))
+    holders = np.diff(np.append(starts, len(order)))
+    element = np.empty(len(order), np.int64)
+    element[order] = np.repeat(np.arange(len(starts)), holders)
+    owner = np.repeat(np.arange(len(sets)), n)[order]
+
+    def shared(ids: np.ndarray) -> np.ndarray:
+        """How many of the elements each set has."""
+        k = holders[ids]
+        return np.bincount(owner[np.repeat(starts[ids] - (np.cumsum(k) - k), k) + np.arange(k.sum())], minlength=len(sets))
+
+    root, a, b = root.copy(), [], []
+    values, count = np.unique(root, return_counts=True)
+    for i in np.flatnonzero(root != values[count.argmax()]).tolist():
+        met = (root != root[i]) & ((part == 0) | (part != part[i]))
+        ids = element[at[i] : at[i + 1]]
+        rare = ids[np.argsort(holders[ids], kind="stable")][: n[i] - int(np.ceil(similarity * n[i] - 1e-9)) + 1]
+        if not (met & (shared(rare) > 0)).any():
+            continue
+        both = shared(ids)
+        hit = np.flatnonzero(met & (both >= similarity * (n[i] + n - both) - 1e-9))
+        if len(hit):
+            joined, first = np.unique(root[hit], return_index=True)
+            a += [i] * len(first)
+            b += hit[first].tolist()
+            root[np.isin(root, joined)] = root[i]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def joining_links(groups: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links u < v that join the roots within each group as all its pairs at the similarity do: at most a row for each root and two blocks.
+    groups: (id, group, root); sets: (id, set). A group of over `block` shingles is cut in blocks by hash, and each two blocks meet in a task."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(columns):
+            group, tile, ids, root, part, raw = columns
+            ends = np.append(np.flatnonzero((group[1:] != group[:-1]) | (tile[1:] != tile[:-1])) + 1, len(group)).tolist()
+            u, v = [], []
+            for s, e in zip([0, *ends], ends, strict=False):
+                i, j = joining([np.frombuffer(r, np.uint64) for r in raw[s:e]], root[s:e], part[s:e], similarity)
+                u.append(ids[s:e][i])
+                v.append(ids[s:e][j])
+            u, v = np.concatenate(u), np.concatenate(v)
+            return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+        held = None
+        for batch in batches:
+            for piece in slices(iter([batch]), "set"):
+                columns = [c.to_numpy(zero_copy_only=False) for c in piece.columns]
+                if held is not None:
+                    columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+                ended = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
+                last = int(ended[-1]) + 1 if len(ended) else 0
+                if last:
+                    yield solve([c[:last] for c in columns])
+                held = [c[last:] for c in columns]
+        if held is not None:
+            yield solve(held)
+
+    rows = written(groups.select("id", "group", "root").join(sets.select("id", "set").hint("merge"), "id"), "similar-groups")
+    size = rows.groupBy("group").agg(F.sum(F.octet_length("set") / 8).alias("size")).where(F.col("size") > block)
+    # about half the limit a block; most groups are one tile
+    rows = rows.join(size.select("group", F.ceil(F.col("size") / max(1, block // 2)).cast("long").alias("blocks")), "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    tile = F.greatest("block", "other") * F.lit(1 << 31) + F.least("block", "other")
+    part = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") > F.col("other"), 1).otherwise(2)
+    rows = rows.select("group", tile.alias("tile"), "id", "root", part.alias("part"), "set")
+    return written(rows.repartition("group", "tile").sortWithinPartitions("group", "tile").mapInArrow(search, "u long, v long"), "similar-links")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -555,8 +658,17 @@ def similar_roots(candidates: DataFrame, members: DataFrame, texts: DataFrame, s
     if not apart.isEmpty():
         links_ = links_.unionByName(verified(apart, texts, similarity, shingle))
         roots = components(links_)
-    rest = written(apart_candidates(members, roots, similarity, radius, bucket).join(nearest.unionByName(apart), ["u", "v"], "left_anti"), "similar-rest")
-    return roots if rest.isEmpty() else components(links_.unionByName(verified(rest, texts, similarity, shingle)))
+    # what remains are candidates of dense and large buckets: groups that hold the ends of them, compared as sets
+    members = mixed_members(members, roots)
+    if members.isEmpty():
+        return roots
+    sets = written(sketched(texts.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), shingle), "similar-shingles")
+    rest = components(mixed_candidates(members, similarity, radius, bucket, nearest.unionByName(apart), sets))
+    if rest.isEmpty():
+        return roots
+    groups = rest.select(F.col("node").alias("id"), F.col("root").alias("group")).unionByName(rest.select(F.col("root").alias("id"), F.col("root").alias("group")).distinct())
+    groups = groups.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return components(links_.unionByName(joining_links(groups, sets, similarity, BLOCK)))
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = WORDS, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:

@@ -192,6 +192,58 @@ def test_blocks_of_a_large_bucket_meet(spark):
         assert {(i, 1000 + i) for i in range(0, 200, 4)} <= got
 
 
+def test_rows_of_a_group_are_no_pairs(spark, monkeypatch):
+    """Near copies of one text of which many are similar to none: pairs to verify and edges stay some rows a member."""
+    base, rows = prose(150), []
+    verified, components = simhash.verified, simhash.components
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *a: rows.append(pairs.count()) or verified(pairs, *a))
+    monkeypatch.setattr(simhash, "components", lambda edges: rows.append(edges.count()) or components(edges))
+    texts = {i: near(base, 1 + i % 12) for i in range(900)}
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(5)
+    got = {r.rep: r.component_id for r in simhash.similar_groups(df, "id").collect()}
+    groups = brute_similar(texts)
+    large = [got[a] for a in max(groups, key=len) if a in got]
+    assert len(large) > 200 and large.count(min(large)) > 0.95 * len(large) and len(groups) > 225 and len(set(got.values())) >= len(groups)
+    assert sum(rows) <= 40 * len(texts), rows
+
+
+@pytest.mark.parametrize("block", [3000, 150])
+def test_groups_of_several_blocks_meet(spark, monkeypatch, block):
+    """As test_no_candidate_of_a_bucket_is_lost, with few shingles a block: some hold one text."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    test_no_candidate_of_a_bucket_is_lost(spark, 1 << 16)
+
+
+def test_joining_against_all_pairs():
+    rng = np.random.default_rng(5)
+    for case in range(60):
+        pool = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+        sets = [np.unique(rng.choice(pool, int(rng.integers(4, 30)), replace=False)) if case % 2 else np.unique(np.append(rng.choice(pool[:20], 18, replace=False), rng.choice(pool[20:], int(rng.integers(0, 5)), replace=False))) for _ in range(40)]
+        root, part = rng.integers(0, 15, 40), (np.zeros(40, int) if case % 3 else rng.integers(1, 3, 40))
+        similar = [(i, j) for i in range(40) for j in range(i) if (part[i] == 0 or part[i] != part[j]) and (n := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9]
+        a, b = simhash.joining(sets, root, part, 0.8)
+
+        def labels(pairs, root=root):
+            now = root.copy()
+            for i, j in pairs:
+                now[now == now[i]] = now[j]
+            return {frozenset(np.flatnonzero(now == r).tolist()) for r in set(now.tolist())}
+
+        assert labels(zip(a.tolist(), b.tolist(), strict=True)) == labels(similar)
+        assert {(max(p), min(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} <= set(similar) and len(a) < len(set(root.tolist()))
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(7)
+    for n in (4, 5, 60, 900, 5000):
+        for _ in range(40):
+            own = int(rng.integers(0, n // 5 + 1))
+            both = rng.integers(0, 1 << 63, n - own, dtype=np.uint64)
+            a, b = (np.unique(np.append(both, rng.integers(0, 1 << 63, k, dtype=np.uint64))) for k in (own, int(rng.integers(0, own + 1))))
+            bits = int.from_bytes(simhash.sketch(a), "big") ^ int.from_bytes(simhash.sketch(b), "big")
+            assert bits.bit_count() <= len(np.setxor1d(a, b))
+
+
 def test_similar_groups_of_one_large_cluster(spark, monkeypatch):
     """Thousands of near copies: stars in place of pairs, and a bucket over the limit is keyed by a second segment."""
     base = prose(300)
